@@ -27,6 +27,7 @@ from veyra.session import cut
 
 BLOCK = 256
 SHARD_BLOCKS = 4096
+MAX_SHARDS = 4096  # shards grow beyond SHARD_BLOCKS instead: the plan has at most MAX_SHARDS x sources rows
 BUCKETS = 64
 MAX_SOURCES = 1000
 
@@ -76,14 +77,9 @@ def packed_blocks(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFra
 def quotas(blocks_of: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, int]:
     """Blocks per source: the largest total at which no source exceeds its cap, split by the shares (largest remainders)."""
     live = [(s, w, blocks_of.get(s, 0) * m) for s, w, m in targets if w and w > 0]
-    if not live or any(c <= 0 for _, _, c in live):
-        missing = [s for s, _, c in live if c <= 0]
-        live = [(s, w, c) for s, w, c in live if c > 0]
-        if not live:
-            return {}
-        scale = sum(w for _, w, _ in live)
-        live = [(s, w / scale, c) for s, w, c in live]
-        del missing
+    live = [x for x in live if x[2] > 0]
+    if not live:
+        return {}
     weight = sum(w for _, w, _ in live)
     total = int(min(c / (w / weight) for _, w, c in live))
     exact = {s: total * w / weight for s, w, _ in live}
@@ -95,6 +91,7 @@ def quotas(blocks_of: dict[str, int], targets: list[tuple[str, float, int]]) ->
 
 def shard_counts(q: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> list[tuple[int, str, int, int]]:
     """(shard, source, first slot of the source, count): multinomial draws per shard, conditioned on the quotas."""
+    shard_blocks = max(shard_blocks, -(-sum(q.values()) // MAX_SHARDS))
     rng, left, used, out, shard = np.random.default_rng(seed), dict(q), dict.fromkeys(q, 0), [], 0
     names = sorted(q)
     while sum(left.values()):
@@ -102,8 +99,8 @@ def shard_counts(q: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed: int
         size, counts = min(shard_blocks, total), {}
         for s in names:  # hypergeometric chain = multinomial given what is left
             rest = total - left[s]
-            counts[s] = int(rng.hypergeometric(left[s], rest, size)) if size and total < 10**9 else int(round(size * left[s] / max(total, 1)))
-            counts[s] = min(counts[s], left[s], size)
+            counts[s] = int(rng.hypergeometric(left[s], rest, size)) if total < 10**9 else int(rng.binomial(size, left[s] / total))
+            counts[s] = max(min(counts[s], left[s], size), size - rest)
             size, total = size - counts[s], rest
         for s in names:
             if counts[s]:
