@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veyra.llm import merkle, mixture, tokens
+from veyra.llm import encoding, merkle, mixture, tokens
 from veyra.sources.tables import table
 
 
@@ -20,6 +20,29 @@ def p1_pages(spark: SparkSession, folder: str) -> DataFrame:
     return one("search_results", "url", "result_id").unionByName(one("hits", "key", "hit_id"))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles and the text between the tags of pages, one column `text`."""
+    titles = table(spark, folder, "search_results").select(F.col("title").alias("text"))
+    pages = table(spark, folder, "fetches").where(F.col("html").rlike(r"[^\x00-\x7f]")).select(F.explode(encoding.segments(F.col("html"))).alias("text"))
+    return titles.unionByName(pages)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _texts(spark, folder)
+    votes, words = encoding.learn(texts), encoding.clean_words(texts)
+    fixed = []
+    for name, key, text in (("search_results", "result_id", "title"), ("fetches", "fetch_id", "html")):
+        rows = table(spark, folder, name).select(F.lit(name).alias("src"), F.col(key).alias("rec_id"), text)
+        fixed.append(encoding.restore(rows, ["src", "rec_id"], text, votes, words))
+    return fixed[0].unionByName(fixed[1]).select("src", "rec_id", F.when(F.col("lost"), "").otherwise(F.md5("fixed")).alias("fixed_md5"))
+
+
+def p4_transformations(spark: SparkSession, folder: str) -> DataFrame:
+    """What the twins taught: votes per transformation."""
+    votes = encoding.learn(_texts(spark, folder))
+    return spark.createDataFrame(sorted(votes.items()), "transformation string, votes long")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_column(table(spark, folder, "documents").select("doc_id", "text"), "text", ["doc_id"])
 
@@ -32,5 +55,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p4_found, p4_transformations, p8_ids, p9_mix, p9_shares)}
 ORACLES: dict[str, str] = {}
