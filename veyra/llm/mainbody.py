@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veyra.functions.urls import hostname
-from veyra.llm.encoding import plain_repair
+from veyra.llm.encoding import TURKISH_BYTES, plain_repair
 from veyra.operators.pageblocks import Block, blocks
 
 # Cue words of page furniture in the languages of the corpus.
@@ -49,7 +49,7 @@ MONTH = "ocak|şubat|mart|nisan|mayıs|haziran|temmuz|ağustos|eylül|ekim|kası
 
 _consent = re.compile(CONSENT)
 _footer = re.compile(rf"(?:{FOOTER})[.!]?")
-_navigation = re.compile(rf"(?:{NAVIGATION})")
+_label_row = re.compile(r"(?:(?:%s)(?:\s+|$))+" % "|".join(sorted(NAVIGATION.split("|"), key=len, reverse=True)))
 _related = re.compile(rf"(?:{RELATED})\s*:?")
 _related_line = re.compile(rf"(?:{RELATED})\s*:\s*\S")
 _comments = re.compile(rf"(?:{COMMENTS})(?:\s*\(\d+\))?\s*:?")
@@ -60,6 +60,7 @@ _byline = re.compile(rf"(?:(?:yazan|yazar|by|von|par|haber|editör)\s*:?\s*)?(?:
 _good = re.compile(r"(?:^|[#.\-_])(?:content|main|article|post|story|entry|body-?text)")
 _bad = re.compile(r"(?:^|[#.\-_])(?:menu|nav|crumb|breadcrumb|sidebar|side|footer|header|cookie|consent|comment|yorum|related|share|social|ad|ads|advert|promo|widget|newsletter)")
 _split = re.compile(r"\s*[|·›»•/]\s*|\s{2,}")
+_TURKISH = str.maketrans(TURKISH_BYTES)  # for cue words only; the text itself stays as it stands
 _sentence = re.compile(r"[.!?…](?:[\"'”»)]*)(?:\s|$)")
 
 
@@ -76,22 +77,9 @@ def general_path(b: Block, heading: str) -> str:
 
 
 def _labels(text: str) -> bool:
-    """All of the text is navigation labels."""
+    """All of the text is navigation labels, with or without separators."""
     items = [x for x in _split.split(text) if x]
-    if items and all(_navigation.fullmatch(x) for x in items):
-        return True
-    rest = text
-    while rest:  # labels in a row, each ends where another begins
-        m = max((m for m in (_navigation.match(rest, 0), ) if m), key=lambda m: m.end(), default=None)
-        if not m:
-            return False
-        for end in sorted({len(x) for x in NAVIGATION.split("|") if rest.startswith(x)}, reverse=True):
-            if end == len(rest) or rest[end] == " ":
-                rest = rest[end:].strip()
-                break
-        else:
-            return False
-    return True
+    return bool(items) and all(_label_row.fullmatch(x) for x in items)
 
 
 def score_blocks(bs: list[Block]) -> list[Scored]:
@@ -99,10 +87,11 @@ def score_blocks(bs: list[Block]) -> list[Scored]:
     out: list[Scored] = []
     heading, related, comments = "top", None, None
     for b in bs:
-        t = plain_repair(b.text).lower().replace("i̇", "i")
+        t = plain_repair(b.text).translate(_TURKISH).lower().replace("i̇", "i")
         tag = b.path[-1].split(".")[0].split("#")[0] if b.path else ""
         names = " ".join(b.path[1:])
         head = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        cell = tag in ("dd", "dt", "th") or tag == "td" and sum(x.startswith("table") for x in b.path) > 1
         kind, s = "", 0.0
         words = len(t.split())
         if related is not None and not (tag == "li" and b.path[: len(related)] == related or b.path[: len(related) + 1] == (*related, "ul")):
@@ -129,14 +118,13 @@ def score_blocks(bs: list[Block]) -> list[Scored]:
             kind = "prompt"
         elif _advert.fullmatch(t):
             kind = "prompt"
-        elif _byline.fullmatch(t) and words <= 9:
+        elif _byline.fullmatch(t) and words <= 9 and not cell:
             kind = "date"
-        elif _labels(t):
+        elif _labels(t) and not (cell and words <= 2):
             kind = "nav"
         elif re.fullmatch(r"\S+@\S+\s*/\s*[+\d()\s./-]{7,}", t):
             kind = "footer"
-        if kind:
-            s -= 4.0
+        s += -4.0 if kind else 1.0
         if any(x.split(".")[0].split("#")[0] in ("nav", "footer", "aside") for x in b.path) or any(x.startswith("header") for x in b.path) and "main" not in names and tag != "h1":
             s -= 4.0
         if _bad.search(names):
@@ -160,3 +148,42 @@ def score_blocks(bs: list[Block]) -> list[Scored]:
 
 def digest(text: str) -> str:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def host_of(url) -> F.Column:
+    """Host of a url as fetched, wrappers and white space ignored; '' for null."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[^\p{L}\p{N}]+|\s+", "")
+    return F.regexp_replace(F.coalesce(hostname(F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("http://"), bare))), F.lit("")), r"^www\.", "")
+
+
+def scored_blocks(fetches: DataFrame) -> DataFrame:
+    """(fetch_id, host, md5, path, score, kind): every block of every fetch with text, in no particular order."""
+    rows = fetches.select("fetch_id", host_of(F.coalesce("final_url", "url")).alias("host"), "html").where(F.col("html").rlike(r"(?U)[^\s]"))
+
+    @F.pandas_udf("array<struct<md5:string,path:long,score:float,kind:string>>")
+    def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for html in it:
+            yield html.map(lambda h: [{"md5": digest(x.text), "path": int(digest(x.key)[:15], 16), "score": x.score, "kind": x.kind} for x in score_blocks(blocks(h))])
+
+    return rows.select("fetch_id", "host", F.explode(of("html")).alias("b")).select("fetch_id", "host", "b.*")
+
+
+VOTE_WEIGHT = 0.6
+PRIOR = 3.0  # votes of the path on all hosts that stand in for a host's own
+
+
+def main_blocks(fetches: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(fetch_id, block_md5): the distinct main-body blocks of each fetch with non-blank html that is not in `excluded` (fetch_id).
+
+    Null, blank and text-free html give no row. Repeated deliveries are fetches of their own. A host seen once relies on its
+    blocks' own scores and on the votes for the same path on all hosts.
+    """
+    from veyra.session import cut
+
+    b = cut(scored_blocks(fetches).join(excluded.select("fetch_id"), "fetch_id", "left_anti"), "blocks")
+    votes = b.groupBy("host", "path").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+    everywhere = votes.groupBy("path").agg((F.sum("s") / F.sum("n")).alias("prior"))
+    votes = votes.join(everywhere, "path").select("host", "path", ((F.col("s") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR)).alias("vote"))
+    agreed = F.col("score") + VOTE_WEIGHT * F.greatest(F.least(F.col("vote"), F.lit(5.0)), F.lit(-5.0))
+    kept = b.join(votes, ["host", "path"]).where((F.col("kind") == "") & (agreed > 0))
+    return kept.select("fetch_id", F.col("md5").alias("block_md5")).distinct()

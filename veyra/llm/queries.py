@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veyra.llm import encoding, merkle, mixture, tokens
+from veyra.llm import encoding, mainbody, merkle, mixture, notices, tokens
 from veyra.sources.tables import table
 
 
@@ -20,6 +20,11 @@ def p1_pages(spark: SparkSession, folder: str) -> DataFrame:
     return one("search_results", "url", "result_id").unionByName(one("hits", "key", "hit_id"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    fetches = table(spark, folder, "fetches")
+    return mainbody.main_blocks(fetches, notices.notices(fetches).where(F.col("p") >= notices.CUT))
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     """Titles and the text between the tags of pages, one column `text`."""
     titles = table(spark, folder, "search_results").select(F.col("title").alias("text"))
@@ -43,6 +48,16 @@ def p4_transformations(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(sorted(votes.items()), "transformation string, votes long")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return notices.notices(table(spark, folder, "fetches")).where(F.col("p") >= notices.CUT).select("fetch_id")
+
+
+def p7_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Agreement with the weak labels on hosts that the classifier has not seen."""
+    held = notices.notices(table(spark, folder, "fetches")).where("held_out AND weak >= 0")
+    return held.groupBy("weak").agg(F.count("*").alias("n_pages"), F.avg(((F.col("p") >= notices.CUT).cast("int") == F.col("weak")).cast("double")).alias("agreement"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_column(table(spark, folder, "documents").select("doc_id", "text"), "text", ["doc_id"])
 
@@ -55,5 +70,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p4_found, p4_transformations, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_transformations, p7_found, p7_validation, p8_ids, p9_mix, p9_shares)}
 ORACLES: dict[str, str] = {}
