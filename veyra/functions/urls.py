@@ -33,7 +33,7 @@ def parts(url: Column) -> dict[str, Column]:
     u = F.trim(F.regexp_replace(url, r"[\t\r\n]", ""))
     at = lambda i: F.regexp_extract(u, _SPLIT, i)
     net = F.regexp_replace(at(2), r"^.*@", "")
-    host = F.rtrim(F.lit("."), F.lower(F.regexp_replace(net, r":\d*$", "")))
+    host = F.rtrim(F.lower(F.regexp_replace(net, r":\d*$", "")), F.lit("."))
     return {"scheme": F.lower(at(1)), "host": F.regexp_replace(host, r"[\[\]]", ""), "port": F.regexp_extract(net, r":(\d+)$", 1), "path": at(3), "query": at(4)}
 
 
