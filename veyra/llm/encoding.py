@@ -70,6 +70,9 @@ def _merged(codecs: tuple[str, ...], with_controls: bool) -> tuple[dict[str, str
 
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_RUN_OR_QUERY = re.compile(r"[^\x00-\x7f]+|\?+")
+#: Question marks where letters belong: inside a word, at its start, or between full stops; not in addresses and formulas.
+QUERY_LOSS = r"(?:^|[\s(\[«\"'|,;:-])[^\s/=&.@<>?\"]*(?:\p{L}\?+\p{L}|(?<![\p{L}\p{N}/=&.@?])\?+\p{L}\p{L})|\p{L}\.\?\.|\p{L}\?['’]\p{L}"
 
 
 def _pass(text: str, codecs: tuple[str, ...], with_controls: bool) -> tuple[str, int]:
@@ -170,8 +173,10 @@ def substitute(text: str, known: frozenset[str], foreign: frozenset[str] = froze
 
 def explain(garbled: str, clean: str) -> list[str]:
     """The transformations that turn clean into garbled: names of wrong decoders, '2:' before those applied twice, 'c1' for
-    control characters, '1:xy' for the substitution of one letter."""
+    control characters, '1:xy' for the substitution of one letter, 'lost:' and the character that stands for lost ones."""
     out = []
+    if set(garbled) <= {"?", LOST} and not clean.isascii():
+        return ["lost:" + garbled[0]]
     for codec in WRONG:
         table = _bytes_as(codec)
         once = "".join(table[b] for b in clean.encode("utf-8", "surrogatepass"))
@@ -187,7 +192,15 @@ def explain(garbled: str, clean: str) -> list[str]:
 
 
 def skeleton(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\x00-\x7f]+", "")
+    return F.regexp_replace(text, r"[^\x00-\x7f]+|\?+", "")
+
+
+def query_loss(text: Column, html: bool = False) -> Column:
+    """Letters were replaced by question marks. In html only the text between tags counts."""
+    if not html:
+        return text.rlike(QUERY_LOSS)
+    bare = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    return text.contains("?") & bare.rlike(QUERY_LOSS)
 
 
 def learn(texts: DataFrame, least: int = LEAST_VOTES) -> dict[str, int]:
@@ -196,11 +209,11 @@ def learn(texts: DataFrame, least: int = LEAST_VOTES) -> dict[str, int]:
     The twins join is between distinct texts and one clean text per skeleton, so it stays linear in them; a text that makes up a
     third of all rows is one row after map-side aggregation. What comes to the driver is one row per transformation.
     """
-    rows = texts.where(F.col("text").rlike(r"[^\x00-\x7f]") & F.col("text").rlike(r"[A-Za-z]{2}"))
+    rows = texts.where((F.col("text").rlike(r"[^\x00-\x7f]") | query_loss(F.col("text"))) & F.col("text").rlike(r"[A-Za-z]{2}"))
     rows = rows.groupBy("text").agg(F.count("*").alias("n"))
     sk = skeleton(F.col("text"))
     rows = rows.select("text", "n", F.xxhash64(sk).alias("sk"), (F.length("text") - F.length(sk)).alias("extra"))
-    rows = rows.withColumn("extra", F.col("extra") + F.when(F.col("text").contains(LOST), 1_000_000).otherwise(0))
+    rows = rows.withColumn("extra", F.col("extra") + F.when(F.col("text").contains(LOST) | query_loss(F.col("text")), 1_000_000).otherwise(0))
     clean = rows.groupBy("sk").agg(F.min_by(F.struct("text", "n"), F.struct("extra", -F.col("n"), "text")).alias("c"), F.count("*").alias("k")).where("k > 1")
     pairs = rows.join(clean, "sk").where("text != c.text").select(F.col("text").alias("g"), F.col("c.text").alias("c"))
 
@@ -210,8 +223,8 @@ def learn(texts: DataFrame, least: int = LEAST_VOTES) -> dict[str, int]:
             out = []
             for a, b in zip(g, c):
                 names: list[str] = []
-                if _RUN.sub("\0", a) == _RUN.sub("\0", b):
-                    for x, y in set(zip(_RUN.findall(a), _RUN.findall(b))):
+                if _RUN_OR_QUERY.sub("\0", a) == _RUN_OR_QUERY.sub("\0", b):
+                    for x, y in set(zip(_RUN_OR_QUERY.findall(a), _RUN_OR_QUERY.findall(b))):
                         if x != y and len(x) <= 24:
                             names += explain(x, y)
                 out.append(sorted(set(names)))
@@ -237,7 +250,7 @@ def segments(html: Column) -> Column:
     return F.filter(F.split(html, r"<[^>]*>"), lambda x: F.length(F.trim(x)) > 0)
 
 
-def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vocabulary: DataFrame | None = None) -> DataFrame:
+def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vocabulary: DataFrame | None = None, html: bool = False) -> DataFrame:
     """keys, fixed, lost: one row per row of df whose text is damaged; fixed is the whole restored text, null if lost.
 
     Null, empty, ASCII-only and correct texts give no row; repeated rows come out as often as they are; very long texts are read
@@ -246,7 +259,8 @@ def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vo
     codecs, c1, swaps = chosen(votes)
     openers = _merged(codecs, c1)[2] if codecs or c1 else ""
     marks = openers + LOST + ("".join(TURKISH_BYTES) if swaps else "")
-    rows = df.select(*keys, F.col(text).alias("t")).where(F.col("t").rlike("[" + re.escape(marks) + "]"))
+    queries = query_loss(F.col("t"), html) if votes.get("lost:?") else F.lit(False)
+    rows = df.select(*keys, F.col(text).alias("t")).withColumn("q", queries).where(F.col("q") | F.col("t").rlike("[" + re.escape(marks) + "]"))
 
     @F.pandas_udf("struct<fixed:string,damaged:boolean,lost:boolean,words:array<string>>")
     def fix(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -254,7 +268,7 @@ def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vo
             got = [repair(x, codecs, c1) for x in s]
             yield pd.DataFrame({"fixed": [g[0] for g in got], "damaged": [g[1] for g in got], "lost": [g[2] for g in got], "words": [sorted(set(suspects(g[0]))) if swaps else [] for g in got]})
 
-    rows = rows.select(*keys, fix("t").alias("f")).select(*keys, "f.*")
+    rows = rows.select(*keys, "q", fix("t").alias("f")).select(*keys, "f.fixed", (F.col("f.damaged") | F.col("q")).alias("damaged"), (F.col("f.lost") | F.col("q")).alias("lost"), "f.words")
     if swaps and vocabulary is not None:
         rows = _with_substitutions(rows, keys, vocabulary)
     return rows.where("damaged").select(*keys, F.when(~F.col("lost"), F.col("fixed")).alias("fixed"), "lost")

@@ -36,7 +36,7 @@ def unordered(tag: str, children: Column) -> Column:
 
 def url_record(url: Column) -> Column:
     """struct<host, port, path: array, params: array<struct<k,v>>> with normalised leaves; wrappers around the URL go."""
-    u = F.regexp_replace(url, r"[\s ﻿​]+", "")
+    u = F.regexp_replace(url, r"[\s\x{a0}\x{200b}\x{2007}\x{202f}\x{feff}]+", "")
     u = F.regexp_replace(F.regexp_replace(u, r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}/]+$", "")
     at = lambda i: F.regexp_extract(u, r"^(?i:([a-z][a-z0-9+.\-]*)://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
     net = F.regexp_replace(at(2), r"^.*@", "")

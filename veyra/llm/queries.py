@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veyra.llm import encoding, mainbody, merkle, mixture, notices, tokens
+from veyra.llm import encoding, mainbody, merkle, mixture, notices, quality, tokens
 from veyra.sources.tables import table
 
 
@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     """Titles and the text between the tags of pages, one column `text`."""
     titles = table(spark, folder, "search_results").select(F.col("title").alias("text"))
-    pages = table(spark, folder, "fetches").where(F.col("html").rlike(r"[^\x00-\x7f]")).select(F.explode(encoding.segments(F.col("html"))).alias("text"))
+    pages = table(spark, folder, "fetches").where("html is not null").select(F.explode(encoding.segments(F.col("html"))).alias("text"))
     return titles.unionByName(pages)
 
 
@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     fixed = []
     for name, key, text in (("search_results", "result_id", "title"), ("fetches", "fetch_id", "html")):
         rows = table(spark, folder, name).select(F.lit(name).alias("src"), F.col(key).alias("rec_id"), text)
-        fixed.append(encoding.restore(rows, ["src", "rec_id"], text, votes, words))
+        fixed.append(encoding.restore(rows, ["src", "rec_id"], text, votes, words, html=text == "html"))
     return fixed[0].unionByName(fixed[1]).select("src", "rec_id", F.when(F.col("lost"), "").otherwise(F.md5("fixed")).alias("fixed_md5"))
 
 
@@ -70,5 +70,38 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p4_found, p4_transformations, p7_found, p7_validation, p8_ids, p9_mix, p9_shares)}
-ORACLES: dict[str, str] = {}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_types(spark, folder).where("kind != 'prose'").select("doc_id", "kind")
+
+
+def p10_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Posterior shares of the text types of every non-blank document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.text_types(docs, quality.common_words(docs))
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.statistics(docs, quality.common_words(docs))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pages, p2_found, p4_found, p4_transformations, p7_found, p7_validation, p8_ids, p9_mix, p9_shares, p10_found, p10_types, p10_statistics)
+}
+_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+ORACLES: dict[str, str] = {
+    "p10_statistics": rf"""
+WITH d AS (SELECT doc_id, text AS t, list_filter(string_split_regex(text, '[ \t\n\f\r\x{{a0}}]+'), lambda w: w <> '') AS w,
+                  list_filter(string_split_regex(text, '[\n\r]+'), lambda x: length(trim(x)) > 0) AS l FROM documents),
+low AS (SELECT doc_id, list_transform(w, lambda x: regexp_replace(lower(replace(x, 'İ', 'i')), '{_EDGE}', '', 'g')) AS b FROM d),
+c AS (SELECT x FROM (SELECT x, count(*) AS n FROM (SELECT unnest(list_distinct(b)) AS x FROM low) WHERE x <> '' AND NOT regexp_matches(x, '[0-9]') GROUP BY x
+      ORDER BY n DESC, x LIMIT {quality.COMMON_WORDS})),
+k AS (SELECT list(x) AS common FROM c)
+SELECT d.doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n_words,
+       CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) END AS mean_word_length,
+       CASE WHEN length(t) > 0 THEN round(length(regexp_replace(t, '[\p{{L}}\p{{N}} \t\n\f\r\x{{a0}}]', '', 'g')) / length(t), 6) END AS symbol_ratio,
+       CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(rtrim(x), '[.!?…]$'))) / len(l), 6) END AS line_end_ratio,
+       CASE WHEN len(w) > 0 THEN round(len(list_filter(b, lambda x: list_contains(common, x))) / len(w), 6) END AS common_ratio
+FROM d JOIN low USING (doc_id), k""",
+}
