@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = ";|\n\r\t•·,/"
-_BLANK = "    ​﻿"
+_BLANK = " \u00a0\u2007\u2009\u202f\u200b\ufeff"
 
 
 class Grammar:
