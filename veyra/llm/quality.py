@@ -44,7 +44,7 @@ def statistics(docs: DataFrame, common: list[str], text: str = "text", keep: tup
     """
     t = F.col("_t")
     words = F.filter(F.split(t, _SPACE), lambda w: w != "")
-    lines = F.filter(F.split(t, r"[\n\r]+"), lambda x: F.length(F.trim(x)) > 0)
+    lines = F.filter(F.split(t, r"[\n\r]+"), lambda x: x.rlike("[^ \\t\\f\u00a0]"))
     d = docs.select(*keep, F.col(text).alias("_t")).select(*keep, "_t", words.alias("_w"), lines.alias("_l"))
     bare = F.transform("_w", lambda w: F.regexp_replace(_lower(w), _EDGE, ""))
     ratio = lambda a, b: F.when(b > 0, a / b)

@@ -93,7 +93,7 @@ _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 ORACLES: dict[str, str] = {
     "p10_statistics": rf"""
 WITH d AS (SELECT doc_id, text AS t, list_filter(string_split_regex(text, '[ \t\n\f\r\x{{a0}}]+'), lambda w: w <> '') AS w,
-                  list_filter(string_split_regex(text, '[\n\r]+'), lambda x: length(trim(x)) > 0) AS l FROM documents),
+                  list_filter(string_split_regex(text, '[\n\r]+'), lambda x: regexp_matches(x, '[^ \t\f\x{{a0}}]')) AS l FROM documents),
 low AS (SELECT doc_id, list_transform(w, lambda x: regexp_replace(lower(replace(x, 'İ', 'i')), '{_EDGE}', '', 'g')) AS b FROM d),
 c AS (SELECT x FROM (SELECT x, count(*) AS n FROM (SELECT unnest(list_distinct(b)) AS x FROM low) WHERE x <> '' AND NOT regexp_matches(x, '[0-9]') GROUP BY x
       ORDER BY n DESC, x LIMIT {quality.COMMON_WORDS})),
