@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veyra.llm import encoding, mainbody, merkle, mixture, notices, quality, tokens
+from veyra.llm import addresses, encoding, mainbody, merkle, mixture, notices, quality, tokens
 from veyra.sources.tables import table
 
 
@@ -48,6 +48,10 @@ def p4_transformations(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(sorted(votes.items()), "transformation string, votes long")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.same_building(table(spark, folder, "address_records"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return notices.notices(table(spark, folder, "fetches")).where(F.col("p") >= notices.CUT).select("fetch_id")
 
@@ -87,7 +91,7 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pages, p2_found, p4_found, p4_transformations, p7_found, p7_validation, p8_ids, p9_mix, p9_shares, p10_found, p10_types, p10_statistics)
+    for f in (p1_found, p1_pages, p2_found, p4_found, p4_transformations, p6_found, p7_found, p7_validation, p8_ids, p9_mix, p9_shares, p10_found, p10_types, p10_statistics)
 }
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 ORACLES: dict[str, str] = {
