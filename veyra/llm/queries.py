@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veyra.llm import addresses, encoding, mainbody, merkle, mixture, notices, quality, tokens
+from veyra.llm import addresses, encoding, mainbody, merkle, mixture, notices, personal, quality, tokens
 from veyra.sources.tables import table
 
 
@@ -25,6 +25,27 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.main_blocks(fetches, notices.notices(fetches).where(F.col("p") >= notices.CUT))
 
 
+def _personal(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    fetches, analyses, subjects = (table(spark, folder, t) for t in ("fetches", "analyses", "subjects"))
+    return personal.personal_information(fetches.select("fetch_id", "html"), analyses.select("analysis_id", "data_types", "matched"), subjects)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.values(_personal(spark, folder)[0])
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return personal.redacted(_personal(spark, folder)[0])
+
+
+def p3_reliabilities(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated accuracy of each labeler."""
+    report = _personal(spark, folder)[1]
+    rows = [(personal.TYPES[t], name, float(a)) for t, (_, acc) in report.items() for name, a in zip(personal.LABELERS[t], acc)]
+    return spark.createDataFrame(rows, "pii_type string, labeler string, accuracy double")
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     """Titles and the text between the tags of pages, one column `text`."""
     titles = table(spark, folder, "search_results").select(F.col("title").alias("text"))
@@ -91,7 +112,7 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pages, p2_found, p4_found, p4_transformations, p6_found, p7_found, p7_validation, p8_ids, p9_mix, p9_shares, p10_found, p10_types, p10_statistics)
+    for f in (p1_found, p1_pages, p2_found, p3_found, p3_redacted, p3_reliabilities, p4_found, p4_transformations, p6_found, p7_found, p7_validation, p8_ids, p9_mix, p9_shares, p10_found, p10_types, p10_statistics)
 }
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 ORACLES: dict[str, str] = {
