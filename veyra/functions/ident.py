@@ -19,7 +19,7 @@ def digits(s: Column) -> Column:
 
 def split_list(s: Column) -> Column:
     """Values of a ';' list, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(s, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_placeholder(s: Column) -> Column:
