@@ -46,7 +46,8 @@ def _bytes_as(codec: str) -> list[str]:
 def sequences(codec: str) -> dict[str, str]:
     """Garbled sequence -> original character, for UTF-8 read as codec."""
     table = _bytes_as(codec)
-    found = {"".join(table[b] for b in chr(c).encode()): chr(c) for c in _REPERTOIRE}
+    twice = [ord(ch) for name in WRONG for ch in _bytes_as(name)[0x80:]]  # what a first damage leaves for a second
+    found = {"".join(table[b] for b in chr(c).encode()): chr(c) for c in {*_REPERTOIRE, *twice}}
     return {g: c for g, c in found.items() if not (g[0] in _CORRECT and g.isalpha())}
 
 
