@@ -198,7 +198,7 @@ def scored(feats: DataFrame, model: Model) -> DataFrame:
         for tokens in it:
             yield pd.Series(predict(held.value, [list(t) for t in tokens]))
 
-    return feats.withColumn("p", p("tokens"))
+    return feats.withColumn("p", p.asNondeterministic()("tokens"))  # once, also where p is filtered on
 
 
 def notices(fetches: DataFrame, sample: int = SAMPLE) -> DataFrame:
