@@ -241,6 +241,7 @@ def text_types(docs: DataFrame, common: list[str], text: str = "text", key: str
                 got.append(total / max(total.sum(), 1e-9))
             yield pd.DataFrame(np.array(got).reshape(-1, len(KINDS)), columns=list(KINDS))
 
+    shares = shares.asNondeterministic()  # once, also where the kind is filtered on
     out = fired.select(key, shares("u").alias("s")).select(key, "s.*")
     top = F.when(F.col("prose") >= 0.5, "prose").when((F.col("list") >= F.col("table")) & (F.col("list") >= F.col("junk")), "list").when(F.col("table") >= F.col("junk"), "table").otherwise("junk")
     return out.select(key, top.alias("kind"), *KINDS)
