@@ -112,6 +112,7 @@ def parsed(records: DataFrame, text: str = "address_text", key: str = "addr_id")
             got = [parse(x) for x in batch]
             yield pd.DataFrame([tuple(g) if g else (None, None, None, None, None, None) for g in got], columns=["street", "stype", "number", "hood", "postcode", "places"])
 
+    of = of.asNondeterministic()  # once, although its result is filtered on
     return records.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t is not null").select("id", of("t").alias("a")).where("a.street is not null").select("id", "a.*")
 
 
