@@ -124,7 +124,7 @@ def test_garbled_names_keep_their_spelling():
 
 
 def test_personal_information(spark):
-    pages = spark.createDataFrame([(1, "<title>Işıl Gökpınarcı</title><p>Sorumlu kişi: Işıl Gökpınarcı.<p>Tel 0598 338 87 76, isil@e.test<p>© Deniz Lojistik A.Ş."), (2, None), (3, ""), (4, "<p>" + "düz yazı " * 30_000)], "fetch_id long, html string")
+    pages = spark.createDataFrame([(1, "<head><title>Işıl Gökpınarcı</title></head><p>Sorumlu kişi: Işıl Gökpınarcı.<p>Tel 0598 338 87 76, isil@e.test<p>© Deniz Lojistik A.Ş."), (2, None), (3, ""), (4, "<p>" + "düz yazı " * 30_000)], "fetch_id long, html string")
     an = spark.createDataFrame([(7, ["Phone (0597 359 02 26)", None], {"emails": ["mail a@b.test until", None], "x": None}), (8, None, None)], "analysis_id long, data_types array<string>, matched map<string,array<string>>")
     subjects = spark.createDataFrame([("Işıl Gökpınarcı", None, None, None), (None, ["Deniz Kaya"], ["Taşbük"], ["Gül Sok. 4, Taşbük"])], "full_name string, relatives array<string>, cities array<string>, addresses array<string>")
     spans, report = personal.personal_information(pages, an, subjects)
