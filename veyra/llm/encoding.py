@@ -70,6 +70,24 @@ def _merged(codecs: tuple[str, ...], with_controls: bool) -> tuple[dict[str, str
     return table, max([1, *map(len, table)]), "".join(sorted({g[0] for g in table})), "".join(sorted(opened))
 
 
+@lru_cache(maxsize=64)
+def damage_pattern(codecs: tuple[str, ...], with_controls: bool) -> str:
+    """Regular expression (Java and Python alike) without which a text holds nothing to repair: for each codec, a character of a
+    first byte before one of a second byte; control characters; the replacement character."""
+    chars = lambda cs: "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(set(cs))) + "]"
+    parts = []
+    for c in codecs:
+        two = [g for g in sequences(c) if len(g) > 1]
+        parts.append(chars(g[0] for g in two) + chars(g[1] for g in two))
+    # The look-ahead turns ASCII characters away with one test.
+    return r"(?=[^\x00-\x7f])(?:" + "|".join([*parts, *([chars(controls())] if with_controls else []), LOST]) + ")"
+
+
+@lru_cache(maxsize=64)
+def _damage(codecs: tuple[str, ...], with_controls: bool) -> re.Pattern[str]:
+    return re.compile(damage_pattern(codecs, with_controls))
+
+
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _RUN_OR_QUERY = re.compile(r"[^\x00-\x7f]+|\?+")
 #: Question marks where letters belong: inside a word, at its start, or between full stops; not in addresses and formulas.
@@ -126,6 +144,8 @@ def repair(text: str, codecs: tuple[str, ...] = WRONG[:6], with_controls: bool =
         return text, False, False
     damaged = False
     for _ in range(passes):
+        if not _damage(codecs, with_controls).search(text):
+            break
         order = _codec_order(text, codecs)
         text, n = _pass(text, order, with_controls)
         damaged |= n > 0
@@ -199,9 +219,10 @@ def skeleton(text: Column) -> Column:
 def query_loss(text: Column, html: bool = False) -> Column:
     """Letters were replaced by question marks. In html only the text between tags counts."""
     if not html:
-        return text.rlike(QUERY_LOSS)
+        return text.contains("?") & text.rlike(QUERY_LOSS)
     bare = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    return text.contains("?") & bare.rlike(QUERY_LOSS)
+    # The first test starts at question marks and wants a tag to open next, not to close: few pages come to the second.
+    return text.rlike(r"(?<=[\p{L}\s(>.])\?+[\p{L}.'’][^<>]*(?:<|\z)") & bare.rlike(QUERY_LOSS)
 
 
 def learn(texts: DataFrame, least: int = LEAST_VOTES) -> dict[str, int]:
@@ -215,7 +236,7 @@ def learn(texts: DataFrame, least: int = LEAST_VOTES) -> dict[str, int]:
     sk = skeleton(F.col("text"))
     rows = rows.select("text", "n", F.xxhash64(sk).alias("sk"), (F.length("text") - F.length(sk)).alias("extra"))
     rows = rows.withColumn("extra", F.col("extra") + F.when(F.col("text").contains(LOST) | query_loss(F.col("text")), 1_000_000).otherwise(0))
-    clean = rows.groupBy("sk").agg(F.min_by(F.struct("text", "n"), F.struct("extra", -F.col("n"), "text")).alias("c"), F.count("*").alias("k")).where("k > 1")
+    clean = rows.groupBy("sk").agg(F.min_by(F.struct("text", "n"), F.struct("extra", -F.col("n"), F.length(F.regexp_replace("text", "[" + "".join(TURKISH_BYTES) + "]", "")).alias("plain") * -1, "text")).alias("c"), F.count("*").alias("k")).where("k > 1")
     pairs = rows.join(clean, "sk").where("text != c.text").select(F.col("text").alias("g"), F.col("c.text").alias("c"))
 
     @F.pandas_udf("array<string>")
@@ -258,10 +279,9 @@ def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vo
     whole. vocabulary (column `word`) holds clean words; it decides the substitutions that correct foreign text also has.
     """
     codecs, c1, swaps = chosen(votes)
-    openers = _merged(codecs, c1)[2] if codecs or c1 else ""
-    marks = openers + LOST + ("".join(TURKISH_BYTES) if swaps else "")
+    marks = damage_pattern(codecs, c1) + ("|[" + "".join(TURKISH_BYTES) + "]" if swaps else "")
     queries = query_loss(F.col("t"), html) if votes.get("lost:?") else F.lit(False)
-    rows = df.select(*keys, F.col(text).alias("t")).withColumn("q", queries).where(F.col("q") | F.col("t").rlike("[" + re.escape(marks) + "]"))
+    rows = df.select(*keys, F.col(text).alias("t")).withColumn("q", queries).where(F.col("q") | F.col("t").rlike(marks))
 
     @F.pandas_udf("struct<fixed:string,damaged:boolean,lost:boolean,words:array<string>>")
     def fix(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -269,6 +289,7 @@ def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vo
             got = [repair(x, codecs, c1) for x in s]
             yield pd.DataFrame({"fixed": [g[0] for g in got], "damaged": [g[1] for g in got], "lost": [g[2] for g in got], "words": [sorted(set(suspects(g[0]))) if swaps else [] for g in got]})
 
+    fix = fix.asNondeterministic()  # else the filter below is evaluated with the UDF over all rows
     rows = rows.select(*keys, "q", fix("t").alias("f")).select(*keys, "f.fixed", (F.col("f.damaged") | F.col("q")).alias("damaged"), (F.col("f.lost") | F.col("q")).alias("lost"), "f.words")
     if swaps and vocabulary is not None:
         rows = _with_substitutions(rows, keys, vocabulary)
@@ -298,4 +319,5 @@ def _with_substitutions(rows: DataFrame, keys: list[str], vocabulary: DataFrame)
 def clean_words(texts: DataFrame) -> DataFrame:
     """Distinct words with a letter that only Turkish has, from texts without marks of damage."""
     ok = texts.where(F.col("text").rlike("[ışğİŞĞ]"))
-    return ok.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]*[ışğİŞĞ][\p{L}]*)"), F.lit(1))).alias("word")).distinct()
+    words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w.rlike("[ışğİŞĞ]"))
+    return ok.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
