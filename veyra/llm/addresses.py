@@ -1,8 +1,8 @@
 """Postal addresses of one building written in many ways.
 
 1. parse    each text gives components: street, street type, door number, neighbourhood, postcode, places; flat, floor and unit go.
-2. respell  a rare word of a street, neighbourhood or place that is one edit away from a far more frequent word of the same
-            field becomes that word (deletion-variant join, so no two words are compared without a shared variant).
+2. respell  a rare phrase, else a rare word, of a street, neighbourhood or place that is one edit away from a far more frequent
+            one of the same field becomes that one (deletion-variant join: nothing is compared without a shared variant).
 3. block    distinct component tuples meet on (street, number, district), on (street sound, number) where a district is
             missing, and on (postcode, number).
 4. compare  agreement, disagreement or a missing value per component; expectation-maximisation over the counts of comparison
@@ -140,9 +140,13 @@ def respell(rows: DataFrame) -> DataFrame:
         F.struct(F.lit("street").alias("field"), F.split("street", " ").alias("ws")), F.struct(F.lit("hood").alias("field"), F.split("hood", " ").alias("ws")), F.struct(F.lit("place").alias("field"), F.flatten(F.transform("places", lambda p: F.split(p, " "))).alias("ws"))
     )).alias("f")).select("f.field", F.explode("f.ws").alias("word")).where("word != ''")
     right = respellings(fields.groupBy("field", "word").agg(F.count("*").alias("n")))
-    phrases = rows.select(F.explode(F.array_union(F.array(F.struct(F.lit("street").alias("field"), F.col("street").alias("p")), F.struct(F.lit("hood").alias("field"), F.col("hood").alias("p"))), F.transform("places", lambda x: F.struct(F.lit("place").alias("field"), x.alias("p"))))).alias("f")).select("f.*").where("p != ''").distinct()
+    said = rows.select(F.explode(F.concat(F.array(F.struct(F.lit("street").alias("field"), F.col("street").alias("p")), F.struct(F.lit("hood").alias("field"), F.col("hood").alias("p"))), F.transform("places", lambda x: F.struct(F.lit("place").alias("field"), x.alias("p"))))).alias("f")).select("f.*").where("p != ''")
+    phrases = said.groupBy("field", "p").agg(F.count("*").alias("n"))
+    # A phrase one edit from a frequent phrase becomes that; only then are its words looked at one by one.
+    whole = respellings(phrases.select("field", F.col("p").alias("word"), "n")).select("field", F.col("word").alias("p"), F.col("right").alias("whole"))
     words = phrases.select("field", "p", F.posexplode(F.split("p", " ")).alias("i", "word")).join(right, ["field", "word"], "left")
-    fixed = words.groupBy("field", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("right", "word").alias("w")))), lambda x: x["w"]), " ").alias("q")).where("p != q")
+    by_word = words.groupBy("field", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("right", "word").alias("w")))), lambda x: x["w"]), " ").alias("q"))
+    fixed = by_word.join(whole, ["field", "p"], "left").select("field", "p", F.coalesce("whole", "q").alias("q")).where("p != q")
     of = lambda field, name: fixed.where(F.col("field") == field).select(F.col("p").alias(name), F.col("q").alias(name + "_right"))
     out = rows.withColumns({"place1": F.try_element_at("places", F.lit(1)), "place2": F.try_element_at("places", F.lit(2))})
     for field, name in (("street", "street"), ("hood", "hood"), ("place", "place1"), ("place", "place2")):
