@@ -21,6 +21,7 @@ KINDS = ("prose", "list", "table", "junk")
 COMMON_WORDS = 300  # top words by number of documents
 MAX_PATTERNS = 200_000
 START, PULL, FLOOR = 0.8, 20.0, 0.65
+UNKNOWN = (0.55, 0.15, 0.15, 0.15)
 _SPACE = "[ \\t\\n\\f\\r\u00a0]+"
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
@@ -66,7 +67,7 @@ _end = re.compile(r"[.!?…][\"'”»)\]]*\s*$")
 _url = re.compile(r"^\s*(?:https?://|www\.)\S+\s*$")
 _keyed = re.compile(r"^\s*[^\W\d_][\w .'’/()-]{0,28}?\s*[:=]\s*\S.{0,80}$")
 _log = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\b(?:INFO|WARN|ERR|ERROR|DEBUG|TRACE|GET|POST)\b.*(?:=|0x|/)|0x[0-9a-f]{4,}|\bpid=")
-_code = re.compile(r"[{};]|=>|==|&&|\|\||\(\)|function\b|\breturn\b|\bvar\b|</|/>")
+_code = re.compile(r"[{}]|=>|==|&&|\|\||\(\)|function\b|\breturn\b|\bvar\b|</|/>")
 _value = re.compile(r"^(?:[+\d().,:/%\s-]*\d[+\d().,:/%\s-]*|-|yes|no|unknown|evet|hayır|ja|nein|oui|non)?$", re.I)
 _wordish = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _vowel = re.compile(r"[aeıioöuüâîûáéíóúàèìòùäëïêôyAEIİOÖUÜÂÎÛÁÉÍÓÚÀÈÄËÏÊÔY]")
@@ -198,11 +199,12 @@ def firing(keys: list[int]) -> np.ndarray:
 
 
 def posterior(x: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
-    """Types of units given which functions fire; the types are equally likely beforehand, so a unit on which none fires is shared."""
+    """Types of units given which functions fire, the types equally likely beforehand; where none fires, nothing speaks against
+    prose and UNKNOWN holds."""
     own, wrong = np.array(_OF), (1 - accuracy) / (len(KINDS) - 1)
     logs = np.stack([x @ np.log(np.where(own == kind, accuracy, wrong)) for kind in range(len(KINDS))], axis=1)
     e = np.exp(logs - logs.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    return np.where(x.sum(1, keepdims=True) > 0, e / e.sum(1, keepdims=True), np.array(UNKNOWN))
 
 
 def text_types(docs: DataFrame, common: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
