@@ -44,8 +44,8 @@ PHRASES = (
 FILLER = r"lorem|ipsum|dolor|consectetur|adipiscing|incididunt|eiusmod|tempor|aliqua|veniam|nostrud|ullamco|laboris"
 SAMPLE_TEXT = r"(?:sample|dummy|placeholder|example) text|text goes here|title here|your (?:text|title|content) here|buraya (?:açıklama|metin|başlık|içerik)|örnek metin|açıklama yazın|yeni sayfa|new page|untitled|hier text|beispieltext|votre texte ici|coming soon|yakında"
 PLACEHOLDER = (
-    r"\{\{\s*[\w.|\- ]+\s*\}\}|\$\{\s*[\w.]+\s*\}|<%=?\s*[\w.]+\s*%>|\[\[\s*[\w. ]+\s*\]\]|@@\w+@@|##\w+##|__[A-Za-zÇĞİÖŞÜçğıöşü]\w*?__|(?<![\w%])%[A-Za-zÇĞİÖŞÜçğıöşü_]{3,}%|(?<![\w{$])\{[A-Za-zÇĞİÖŞÜçğıöşü_.]+\}"
-    r"|\[(?!at\]|dot\]|nokta\]|et\]|punkt\]|arobase\]|point\])[A-Za-zÇĞİÖŞÜçğıöşü_]{3,}\](?!\s*[\w.-]+\s*\[)|#\{\s*[\w.]+\s*\}|\{%\s*.*?%\}"
+    r"\{\{\s*[\w.|\- ]+\s*\}\}|\$\{\s*[\w.]+\s*\}|<%=?\s*[\w.]+\s*%>|\[\[\s*[\w. ]+\s*\]\]|@@[\w.]+@@|##[\w.]+##|__[A-Za-zÇĞİÖŞÜçğıöşü][\w.]*?__|(?<![\w%])%[A-Za-zÇĞİÖŞÜçğıöşü_.]{3,}%|(?<![\w{$])\{[A-Za-zÇĞİÖŞÜçğıöşü_.]+\}"
+    r"|\[(?!at\]|dot\]|nokta\]|et\]|punkt\]|arobase\]|point\])[A-Za-zÇĞİÖŞÜçğıöşü_.]{3,}\](?!\s*[\w.-]+\s*\[)|#\{\s*[\w.]+\s*\}|\{%\s*.*?%\}"
 )
 _phrase, _filler, _sample, _placeholder = (re.compile(x) for x in (PHRASES, rf"\b(?:{FILLER})\b", SAMPLE_TEXT, PLACEHOLDER))
 _word = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
@@ -89,16 +89,18 @@ def features(html: str, status: int | None) -> Page:
     words = _word.findall(text)
     sentences = [s for s in re.split(r"[.!?]\s+|\n", text) if len(s) > 8]
     repeated = 1 - len(set(sentences)) / len(sentences) if len(sentences) >= 3 else 0.0
+    if len(words) >= 12:  # the same words over and over, also without full stops
+        parts = [words[i : i + 40] for i in range(0, max(len(words) - 11, 1), 40)]
+        repeated = max(repeated, 1 - sum(len(set(p)) / len(p) for p in parts) / len(parts) - 0.2)
     filler = len(_filler.findall(text)) / max(len(words), 1)
     sample = len(_sample.findall(text))
     facts = sum(1 for b, _ in core if b.path and re.match(r"(dd|td|li)", b.path[-1]))
     prose = sum(1 for s in sentences if len(s.split()) >= 5)
     short = letters < 200
-    where = f"{head}\n{top}" + ("\n" + text if short else "")
-    phrase = bool(_phrase.search(top)) or (short and bool(_phrase.search(where)))
+    phrase = bool(_phrase.search(top) or short and (_phrase.search(head) or facts < 2 and _phrase.search(text)))
 
     size = f"L{min(int(np.log2(letters + 1)), 14)}"
-    marks = [size, f"P{min(holes, 3)}", f"C{min(code, 2)}", f"R{int(repeated * 4)}", f"F{min(int(filler * 20), 6)}", f"S{min(sample, 3)}", f"facts{min(facts, 4)}", f"prose{min(prose, 4)}", f"blocks{min(len(bs), 6)}"]
+    marks = [size, f"P{min(holes, 3)}", f"C{min(code, 2)}", f"R{int(max(repeated, 0) * 4)}", f"F{min(int(filler * 20), 6)}", f"S{min(sample, 3)}", f"facts{min(facts, 4)}", f"prose{min(prose, 4)}", f"blocks{min(len(bs), 6)}"]
     marks += [f"{m}&{size}" for m in (f"prose{min(prose, 2)}", f"phrase{int(phrase)}", f"facts{min(facts, 2)}", f"holes{min(holes, 1)}")]
     if _placeholder.search(plain_repair(title(html))):
         marks.append("title=hole")
@@ -110,7 +112,7 @@ def features(html: str, status: int | None) -> Page:
 
     bad = status is not None and status >= 400
     weak = -1
-    if holes or filler > 0.3 or (sample and repeated >= 0.3) or (sample >= 2):
+    if holes or filler > 0.3 or (sample and repeated >= 0.3) or sample >= 2 or repeated >= 0.5:
         weak = 1
     elif short and (phrase or (bad and not facts)) and prose <= 2:
         weak = 1
