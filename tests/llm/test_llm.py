@@ -58,7 +58,7 @@ def fetches(spark):
     rows = [(i, f"https://h{i % 4}.example/{i}", None, 200, page(i, story(i)), "C") for i in range(60)]
     rows += [(100 + i, f"https://h{i % 4}.example/e{i}", None, 404 if i % 2 else 200, page(i, "<h1>Sayfa bulunamadı</h1><p>Adresi denetleyin.</p>", "Hata"), "C") for i in range(24)]
     rows += [(200 + i, f"https://h{i % 4}.example/t{i}", None, 200, page(i, f"<h1>{{{{ad}}}}</h1><p>Merhaba ${{isim}}, bu sayfa {i} kez açıldı ve kayıt altında duruyor.</p>"), "C") for i in range(12)]
-    rows += [(300, None, None, None, None, None), (301, "", "", None, "  \n", "C"), (302, "x", None, 200, "<p>", "C"), (303, "https://h1.example/l", None, 500, page(303, story(303) + "<p>" + "Uzun bir cümle daha burada durur. " * 3000 + "</p>"), "C")]
+    rows += [(300, None, None, None, None, None), (301, "", "", None, "  \n", "C"), (302, "x", None, 200, "<p>", "C"), (303, "https://h1.example/l", None, 500, page(303, story(303) + "<p>" + " ".join(f"Uzun bir cümle daha, {k} ile {k * 7} arasında durur." for k in range(2000)) + "</p>"), "C")]
     return spark.createDataFrame(rows, FETCH)
 
 

@@ -56,7 +56,7 @@ _comments = re.compile(rf"(?:{COMMENTS})(?:\s*\(\d+\))?\s*:?")
 _prompt = re.compile(rf"(?:{PROMPT})")
 _advert = re.compile(rf"(?:{ADVERT})\s*[.:]?")
 _date = r"(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}\.? (?:" + MONTH + r") \d{4}|(?:" + MONTH + r") \d{1,2}, \d{4})(?:[ ,-]+\d{1,2}[:.]\d{2})?"
-_byline = re.compile(rf"(?:(?:yazan|yazar|by|von|par|haber|editör)\s*:?\s*)?(?:[^\d.!?]{{2,60}}?\s*[-–|,·/]\s*)?{_date}(?:\s*[-–|,·/]\s*[^\d.!?]{{2,60}})?")
+_byline = re.compile(rf"(?:(?:yazan|yazar|by|von|par|haber|editör)\s*:?\s*)?(?:[^\d!?]{{2,60}}?\s*[-–|,·/]\s*)?{_date}(?:\s*[-–|,·/]\s*[^\d.!?]{{2,60}})?")
 _good = re.compile(r"(?:^|[#.\-_])(?:content|main|article|post|story|entry|body-?text)")
 _bad = re.compile(r"(?:^|[#.\-_])(?:menu|nav|crumb|breadcrumb|sidebar|side|footer|header|cookie|consent|comment|yorum|related|share|social|ad|ads|advert|promo|widget|newsletter)")
 _split = re.compile(r"\s*[|·›»•/]\s*|\s{2,}")
@@ -139,7 +139,7 @@ def score_blocks(bs: list[Block]) -> list[Scored]:
         s += min(len(_sentence.findall(b.text)), 5) * 0.5 + min(words, 40) * 0.04
         if tag == "li":
             s -= 0.3
-        s -= 1.5 * (b.link / n > 0.8)
+        s -= 0.6 * (b.link / n > 0.8)
         if tag in ("h1", "h2") and not kind:
             heading = tag
         out.append(Scored(b.text, general_path(b, heading), s, kind))
