@@ -14,6 +14,7 @@ from veyra.functions import ident, text
 # Kinds in the order of their priority.
 KINDS = ("name_main", "name", "email", "phone", "username", "name_city", "name_employer", "name_school", "site_broker", "site_social", "site_professional")
 GROUP_SIZE = 8
+MAX_GROUPS = 10_000  # each name is paired with each group, so their number is checked
 
 
 def quote(s: Column) -> Column:
@@ -57,6 +58,8 @@ def raw_queries(subjects: DataFrame, sites: DataFrame | None = None, group_size:
     parts.append(phones.select("case_id", quote(F.col("form")).alias("text"), F.lit("phone").alias("kind"), o(5, F.col("v"), F.col("k"))))
     if sites is not None:
         groups = site_groups(sites, group_size)
+        if groups.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+            raise ValueError(f"over {MAX_GROUPS} site groups; a closed dictionary is expected")
         kinds = F.array_position(F.array(*[F.lit(k) for k in KINDS[8:]]), F.col("kind")).cast("int")
         parts.append(names.join(F.broadcast(groups)).select("case_id", F.concat_ws(" ", quote(F.col("form")), F.col("filter")).alias("text"), "kind", o(6, kinds, F.col("g"), F.col("n"))))
     return reduce(DataFrame.unionByName, parts)

@@ -85,4 +85,4 @@ def outside_vocabulary(tracker: DataFrame, lists: DataFrame, field: str, list_na
     """Values of a field that its closed list does not hold."""
     allowed = lists.where(F.col("list_name") == list_name).select(F.col("entry").alias("value"))
     used = tracker.select(F.col(field).alias("value")).where("value is not null and value != ''").groupBy("value").agg(F.count("*").alias("n_rows"))
-    return used.join(F.broadcast(allowed), "value", "left_anti")
+    return used.join(allowed, "value", "left_anti")

@@ -87,7 +87,7 @@ SELECT result_id, len(regexp_extract_all(regexp_replace(t, '([^\p{{L}}\p{{N}}_])
 )
 def title_mentions(spark, d):
     r, s = table(spark, d, "search_results").where("title is not null"), table(spark, d, "subjects").select("case_id", text.phrase_pattern(F.col("full_name")).alias("p"))
-    return r.join(F.broadcast(s), "case_id").select("result_id", F.call_function("regexp_count", text.fold(F.col("title")), F.col("p")).cast("long").alias("mentions"))
+    return r.join(s, "case_id").select("result_id", F.call_function("regexp_count", text.fold(F.col("title")), F.col("p")).cast("long").alias("mentions"))
 
 
 @query()
@@ -95,7 +95,7 @@ def mention_spans(spark, d):
     """Merged spans of all names of the subject in each title, with the words around them."""
     r = table(spark, d, "search_results").where("title is not null").select("result_id", "case_id", text.fold(F.col("title")).alias("t"))
     s = table(spark, d, "subjects").select("case_id", ident.distinct_names(F.col("full_name"), F.col("name_variants")).alias("names"))
-    x = r.join(F.broadcast(s), "case_id").withColumn("spans", text.find_spans(F.col("t"), F.col("names")))
+    x = r.join(s, "case_id").withColumn("spans", text.find_spans(F.col("t"), F.col("names")))
     return x.select("result_id", F.size("spans").alias("mentions"), text.contexts(F.col("t"), F.col("spans")).alias("contexts"))
 
 
@@ -438,7 +438,7 @@ def page_analysis(spark, d):
     """Mentions, places and exposed data types of every page of an authorised subject."""
     s = dictionaries.authorized(table(spark, d, "subjects"))
     f = table(spark, d, "fetches").where("trim(coalesce(html, '')) != ''").select("fetch_id", "case_id", "url", "status", pages.sections_of("html").alias("s"))
-    return pages.analysis(f.join(F.broadcast(s), "case_id")).select("fetch_id", "mentions", "places", "data_types", "contexts", "visible_text_len")
+    return pages.analysis(f.join(s, "case_id")).select("fetch_id", "mentions", "places", "data_types", "contexts", "visible_text_len")
 
 
 @query()
@@ -463,4 +463,4 @@ def raw_lines(spark, d):
 )
 def kept_accounts(spark, d):
     r, s = table(spark, d, "search_results").where("url is not null"), table(spark, d, "subjects").select("case_id", "keep_accounts")
-    return r.join(F.broadcast(s), "case_id").select("result_id", classify.keeps(F.col("url"), F.col("keep_accounts")).alias("kept"))
+    return r.join(s, "case_id").select("result_id", classify.keeps(F.col("url"), F.col("keep_accounts")).alias("kept"))
