@@ -9,7 +9,8 @@
    epoch: no block comes a second time before every block came once, and none more often than the cap.
 5. Slots join blocks by (source, index).
 
-What reaches the driver: one row per source and bucket (sources x BUCKETS, both bounded) for the running offsets.
+What reaches the driver is the plan: at most MAX_SHARDS x sources rows. The running offsets (sources x buckets, both bounded) are
+broadcast between executors.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from veyra.session import cut
 BLOCK = 256
 SHARD_BLOCKS = 4096
 MAX_SHARDS = 4096  # shards grow beyond SHARD_BLOCKS instead: the plan has at most MAX_SHARDS x sources rows
-BUCKETS = 64
+BUCKETS, MAX_BUCKETS = 64, 1 << 16
+BUCKET_TOKENS = 20_000_000  # tokens of all sources per bucket; buckets grow in number, not in size
 MAX_SOURCES = 1000
 
 
@@ -53,11 +55,13 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 def packed_blocks(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """(source, index, n_tokens, ids): the token blocks of each source. docs: doc_id, source, ids.
 
-    A hot source is spread over BUCKETS buckets by a hash of the document id; a bucket starts where the tokens of the buckets
-    before it end, so no task sees a whole source. A document that crosses a block's end gives its pieces to both blocks.
+    A hot source is spread over buckets by a hash of the document id, as many as the tokens call for; a bucket starts where the
+    tokens of the buckets before it end, so no task sees a whole source. A document that crosses a block's end gives its pieces to both blocks.
     """
     d = docs.select("doc_id", "source", "ids", F.size("ids").alias("n")).where("n > 0")
-    d = d.withColumns({"h": F.xxhash64("doc_id", F.lit(seed))}).withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int"))
+    tokens_in_all = d.agg(F.sum("n")).first()[0] or 0
+    buckets = min(max(BUCKETS, -(-tokens_in_all // BUCKET_TOKENS)), MAX_BUCKETS)
+    d = d.withColumns({"h": F.xxhash64("doc_id", F.lit(seed))}).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
     sums = d.groupBy("source", "bucket").agg(F.sum("n").alias("t"))
     sources = sums.select("source").distinct().count()
     if sources > MAX_SOURCES:
