@@ -127,7 +127,8 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, shard_blocks: i
     wanted = [(r[0], float(r[1] or 0), int(r[2] or 0)) for r in targets.select("source", "target_share", "max_repeats").where("source is not null").limit(MAX_SOURCES + 1).collect()]
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
-    blocks = cut(packed_blocks(docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), block, seed), "blocks")
+    chosen = cut(docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), "tokens")  # encoded once, read thrice
+    blocks = cut(packed_blocks(chosen, block, seed), "blocks")
     n_of = {r["source"]: r["n"] for r in blocks.groupBy("source").agg((F.max("index") + 1).alias("n")).collect()}
     plan = [(h, s, first, c, n_of[s]) for h, s, first, c in shard_counts(quotas(n_of, wanted), shard_blocks, seed)]
     slots = _slots(spark, plan, seed)
