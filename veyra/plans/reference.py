@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veyra.functions import ident, text, urls
 from veyra.operators import classify, matrix, pages, report, results, tracker
 from veyra.sources import dictionaries, enrich, providers, sinks
+from veyra.session import spread
 from veyra.sources.tables import table
 
 QUERIES: dict = {}
@@ -429,7 +430,7 @@ def snippet_emails(spark, d):
 
 @query()
 def page_sections(spark, d):
-    p = table(spark, d, "fetches").where("html is not null").select("fetch_id", pages.sections_of("html").alias("s"))
+    p = spread(table(spark, d, "fetches").where("html is not null").select("fetch_id", "html")).select("fetch_id", pages.sections_of("html").alias("s"))
     return p.select("fetch_id", "s.title", F.length("s.meta").alias("meta_len"), F.length("s.headings").alias("headings_len"), F.length("s.body").alias("body_len"), F.length("s.plain_body").alias("plain_len"), F.length("s.comments").alias("comments_len"), F.size("s.links").alias("n_links"), "s.owner")
 
 
@@ -437,7 +438,7 @@ def page_sections(spark, d):
 def page_analysis(spark, d):
     """Mentions, places and exposed data types of every page of an authorised subject."""
     s = dictionaries.authorized(table(spark, d, "subjects"))
-    f = table(spark, d, "fetches").where("trim(coalesce(html, '')) != ''").select("fetch_id", "case_id", "url", "status", pages.sections_of("html").alias("s"))
+    f = spread(table(spark, d, "fetches").where("trim(coalesce(html, '')) != ''").select("fetch_id", "case_id", "url", "status", "html")).withColumn("s", pages.sections_of("html")).drop("html")
     return pages.analysis(f.join(s, "case_id")).select("fetch_id", "mentions", "places", "data_types", "contexts", "visible_text_len")
 
 

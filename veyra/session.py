@@ -46,7 +46,14 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hash_spread(df: DataFrame, n_factor: int = 4) -> DataFrame:
-    """Round-robin over the cores when a table comes in fewer splits than there are cores (costly Python follows)."""
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where costly Python follows and the table is too small to come in that many splits.
+
+    Judged by the planner's size of the scan: a table of as many splits as cores, or of unknown size, stays as it is, so large
+    tables see no shuffle here.
+    """
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism * n_factor, 1))
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores * 2) if size < cores * split else df
