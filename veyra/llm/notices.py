@@ -22,6 +22,7 @@ from veyra.functions.urls import hostname
 from veyra.llm.encoding import TURKISH_BYTES, plain_repair
 from veyra.llm.mainbody import score_blocks
 from veyra.operators.pageblocks import blocks, title
+from veyra.session import spread
 
 DIM = 1 << 15
 MARKS = 1 << 10  # ids below are marks: length, structure and title features
@@ -179,7 +180,7 @@ def page_features(fetches: DataFrame) -> DataFrame:
             got = [features(h, None if s is None or s != s else int(s)) for h, s in zip(html, status)]
             yield pd.DataFrame({"tokens": [g.tokens for g in got], "weak": [g.weak for g in got], "length": [g.length for g in got]})
 
-    return rows.withColumn("f", of("html", "status")).select("fetch_id", "held_out", "f.*")
+    return spread(rows).withColumn("f", of("html", "status")).select("fetch_id", "held_out", "f.*")
 
 
 def train(feats: DataFrame, sample: int = SAMPLE) -> Model:
