@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from veyra.functions.urls import hostname
 from veyra.llm.encoding import TURKISH_BYTES, plain_repair
 from veyra.operators.pageblocks import Block, blocks
+from veyra.session import spread
 
 # Cue words of page furniture in the languages of the corpus.
 CONSENT = r"çerez|gizliliğinize önem|veri politika|aydınlatma metni|tercihlerinizi|cookie|privacy choices|legitimate interest|your consent|data policy|store information on your device|privatsphäre|einwilligung|vie privée|consentement|témoins de connexion"
@@ -165,7 +166,7 @@ def scored_blocks(fetches: DataFrame) -> DataFrame:
         for html in it:
             yield html.map(lambda h: [{"md5": digest(x.text), "path": int(digest(x.key)[:15], 16), "score": x.score, "kind": x.kind} for x in score_blocks(blocks(h))])
 
-    return rows.select("fetch_id", "host", F.explode(of("html")).alias("b")).select("fetch_id", "host", "b.*")
+    return spread(rows).select("fetch_id", "host", F.explode(of("html")).alias("b")).select("fetch_id", "host", "b.*")
 
 
 VOTE_WEIGHT = 0.6
