@@ -78,6 +78,22 @@ def test_tracker(spark):
     assert [r["row_no"] for r in tracker.allocate(tracker.new_hits(hits, t), t).collect()] == [6]
 
 
+def test_tracker_observations(spark):
+    t = spark.createDataFrame([trow(2, "http://e.com/a", name_rank=4), trow(3, "http://e.com/gone", name_rank=7, evidence="old.png"), trow(4, "http://e.com/n", name_rank=1)], TRACKER)
+    found = spark.createDataFrame([("C", 1, "q", "name_main", "brave", 3, "http://e.com/n", "t", "s")], RESULTS)
+    f = spark.createDataFrame([
+        (1, "C", "http://e.com/a", 200, "<p>x", "first.png", "2025-01-01"), (2, "C", "https://www.e.com/a/", 200, "<p>x", "last.png", "2025-01-02"), (3, "C", "http://e.com/gone", 404, None, "new.png", "2025-01-01"), (4, "C", "http://e.com/n", 200, "<p>x", None, "2025-01-01"),
+    ], "fetch_id long, case_id string, url string, status int, html string, screenshot string, fetched_at string")
+    a = spark.createDataFrame([(1, 1, 9, ["City"], "page", "1"), (2, 2, 0, ["Phone", "Email"], "page", "1"), (3, 3, 5, ["Phone"], "page", "1"), (4, 4, 5, ["Phone"], "snippet", "1")], "analysis_id long, fetch_id long, mentions int, data_types array<string>, source string, analysed_at string")
+    seen = tracker.observations(t, results.merge_hits(found), tracker.latest_pages(f, a), found, "2025-01-02")
+    got = {(r["row_no"], r["field"]): (r["value"], r["is_clear"]) for r in tracker.plan(t, seen).collect()}
+    checked = {(n, "last_checked"): ("2025-01-02", False) for n in (2, 3, 4)}
+    read = {(2, "mentions"): ("0", False), (2, "data_types_exposed"): ("Phone, Email", False), (2, "evidence"): ("last.png", False)}
+    assert got == checked | read | {(2, "name_rank"): (None, True), (3, "name_rank"): (None, True), (4, "name_rank"): ("3", False), (4, "notes"): (tracker.RANK_NOTE, False)}
+    unsearched = tracker.observations(t, results.merge_hits(found.limit(0)), tracker.latest_pages(f, a), found.limit(0), "2025-01-02")
+    assert tracker.plan(t, unsearched).where("field = 'name_rank'").count() == 0
+
+
 PAGE = """<html><head><title>Ada  Yılmaz &amp; co</title><meta name="description" content="Ada Yılmaz hakkında"><script>"Ada Yılmaz"</script></head><body><!-- Ada Yılmaz -->
 <nav><a href="#x">skip</a><a href="/privacy">Privacy</a><a href="/kaldirma">İçerik kaldırma</a><a href="/kaldirma">again</a></nav><h1>Ada Yılmaz</h1><p>ADA YILMAZ yazdı: 0532 123 45 67, T.C. 10000000146</p>
 <img src=a.jpg alt="Ada Yılmaz"><div class="comment">ada yılmaz yorum</div><footer>© 2020 Acme Medya Ltd. Şti.</footer></body></html>"""

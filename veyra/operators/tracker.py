@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veyra.functions.urls import url_key
+from veyra.operators import results
 
 RANK_NOTE = "Rank is not from Google"
 
@@ -46,6 +47,34 @@ def append_note(notes: Column, line: Column) -> Column:
     return F.concat_ws("\n", F.nullif(F.rtrim(notes), F.lit("")), F.nullif(line, F.lit("")))
 
 
+def latest_pages(fetches: DataFrame, analyses: DataFrame) -> DataFrame:
+    """case_id, key, page_ok, seen_mentions, seen_types, screenshot: the last fetch of each page and the last analysis of it. Only a
+    fetch that was read and an analysis of the page itself are page_ok."""
+    last = F.max_by(F.struct("fetch_id", "status", "html_ok", "screenshot"), F.struct("fetched_at", "fetch_id"))
+    f = results.keyed(fetches.withColumn("html_ok", F.trim(F.coalesce("html", F.lit(""))) != "").drop("html"))
+    f = f.groupBy("case_id", "key").agg(last.alias("f")).select("case_id", "key", "f.*")
+    a = analyses.groupBy("fetch_id").agg(F.max_by(F.struct("mentions", "data_types", "source"), F.struct("analysed_at", "analysis_id")).alias("a"))
+    ok = F.coalesce((F.col("status") == 200) & F.col("html_ok") & (F.col("a.source") == "page"), F.lit(False))
+    return f.join(a, "fetch_id", "left").select(
+        "case_id", "key", ok.alias("page_ok"), F.col("a.mentions").alias("seen_mentions"),
+        F.array_join(F.coalesce("a.data_types", F.array().cast("array<string>")), ", ").alias("seen_types"), "screenshot",
+    )
+
+
+def observations(tracker: DataFrame, hits: DataFrame, pages: DataFrame, found: DataFrame, checked: str) -> DataFrame:
+    """What a rescan sees of every tracked page, the input of plan: a row for each case and key of the tracker, with its merged hit and
+    its page where there are any. pages: latest_pages; found: search results, of which any of the main query says that it ran."""
+    h = hits.select("case_id", "key", "best_rank", "rank_provider", "found_by_google")
+    ran = found.where(F.col("query_kind") == results.MAIN_KIND).select("case_id", F.lit(True).alias("ran")).distinct()
+    seen = rows(tracker).select("case_id", "key").distinct().join(h, ["case_id", "key"], "left").join(pages, ["case_id", "key"], "left").join(ran, "case_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return seen.select(
+        "case_id", "key", F.lit(checked).alias("checked"), flag(F.col("page_ok")).alias("page_ok"), "seen_mentions", "seen_types",
+        "best_rank", flag(F.col("rank_provider").isin(*results.GOOGLE)).alias("rank_google"), flag(F.col("ran")).alias("main_ran"),
+        flag(F.col("found_by_google")).alias("found_by_google"), F.coalesce("screenshot", F.lit("")).alias("screenshot"),
+    )
+
+
 def plan(tracker: DataFrame, seen: DataFrame) -> DataFrame:
     """case_id, row_no, field, value, is_clear: the cells that new observations change, in long form.
 

@@ -332,7 +332,7 @@ _SEEN = f"""(SELECT case_id, key, '2025-01-01' AS checked, best_rank, coalesce(r
 
 
 def _seen(spark: SparkSession, d: str) -> DataFrame:
-    """What a run saw, from the merged hits: no page was read in it."""
+    """What the searches of a run saw, from the merged hits: no page was read in it."""
     h = merged_hits(spark, d)
     return h.select(
         "case_id", "key", F.lit("2025-01-01").alias("checked"), F.lit(False).alias("page_ok"), F.lit(None).cast("int").alias("seen_mentions"), F.lit(None).cast("string").alias("seen_types"),
@@ -353,10 +353,38 @@ def tracker_plan(spark, d):
     return tracker.plan(table(spark, d, "tracker"), _seen(spark, d))
 
 
+_FETCHED = f"""(SELECT f.case_id, f.key, coalesce(f.status = 200 AND trim(coalesce(f.html, ''), ' ') <> '' AND a.source = 'page', false) AS page_ok, a.mentions AS seen_mentions, coalesce(array_to_string(a.data_types, ', '), '') AS seen_types, f.screenshot
+ FROM (SELECT * FROM {keyed_sql('fetches', 'url')} QUALIFY row_number() OVER (PARTITION BY case_id, key ORDER BY fetched_at DESC NULLS LAST, fetch_id DESC) = 1) f
+ LEFT JOIN (SELECT * FROM analyses QUALIFY row_number() OVER (PARTITION BY fetch_id ORDER BY analysed_at DESC NULLS LAST, analysis_id DESC) = 1) a ON a.fetch_id = f.fetch_id)"""
+_DIFF = f"""(WITH t AS MATERIALIZED (SELECT t.case_id, t.row_no, t.name_rank, t.notes, t.evidence, p.page_ok, p.seen_mentions, p.seen_types, p.screenshot, h.best_rank, coalesce(h.rank_provider IN ({_GOOGLE}), false) AS rank_google, coalesce(h.found_by_google, false) AS found_by_google,
+   t.case_id IN (SELECT case_id FROM search_results WHERE query_kind = 'name_main') AS main_ran
+  FROM {_TRACKED} t LEFT JOIN {_HITS} h ON t.case_id = h.case_id AND t.key = h.key LEFT JOIN {_FETCHED} p ON t.case_id = p.case_id AND t.key = p.key)
+ SELECT case_id, row_no, 'last_checked' AS field, '2025-01-01' AS value, false AS is_clear FROM t
+ UNION ALL SELECT case_id, row_no, 'mentions', CAST(seen_mentions AS VARCHAR), false FROM t WHERE page_ok
+ UNION ALL SELECT case_id, row_no, 'data_types_exposed', seen_types, false FROM t WHERE page_ok
+ UNION ALL SELECT case_id, row_no, 'name_rank', CAST(best_rank AS VARCHAR), false FROM t WHERE best_rank IS NOT NULL
+ UNION ALL SELECT case_id, row_no, 'name_rank', NULL, true FROM t WHERE best_rank IS NULL AND main_ran AND name_rank IS NOT NULL
+ UNION ALL SELECT case_id, row_no, 'notes', CASE WHEN rtrim(notes, ' ') <> '' THEN rtrim(notes, ' ') || chr(10) ELSE '' END || '{tracker.RANK_NOTE}', false FROM t WHERE best_rank IS NOT NULL AND NOT rank_google AND NOT contains(lower(coalesce(notes, '')), '{tracker.RANK_NOTE.lower()}')
+ UNION ALL SELECT case_id, row_no, 'indexed', 'Yes', false FROM t WHERE found_by_google
+ UNION ALL SELECT case_id, row_no, 'evidence', screenshot, false FROM t WHERE coalesce(evidence, '') = '' AND coalesce(screenshot, '') <> '')"""
+
+
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    """What a rescan saw of every tracked page: searches, fetches and analyses."""
+    pages_ = tracker.latest_pages(table(spark, d, "fetches"), table(spark, d, "analyses"))
+    return tracker.observations(table(spark, d, "tracker"), merged_hits(spark, d), pages_, table(spark, d, "search_results"), "2025-01-01")
+
+
+@query(f"SELECT * FROM {_DIFF}")
+def tracker_diff(spark, d):
+    """The whole rescan. tracker_plan is the part of it that the searches alone give, as its SQL has it."""
+    return tracker.plan(table(spark, d, "tracker"), _observed(spark, d))
+
+
 @query()
 def tracker_applied(spark, d):
     t = table(spark, d, "tracker")
-    return tracker.applied(t, tracker.plan(t, _seen(spark, d)))
+    return tracker.applied(t, tracker.plan(t, _observed(spark, d)))
 
 
 @query("SELECT 'severity' AS field, value, n_rows FROM (SELECT severity AS value, count(*) AS n_rows FROM tracker WHERE severity <> '' GROUP BY 1) WHERE value NOT IN (SELECT entry FROM lists WHERE list_name = 'severity') UNION ALL SELECT 'indexed', value, n_rows FROM (SELECT indexed AS value, count(*) AS n_rows FROM tracker WHERE indexed <> '' GROUP BY 1) WHERE value NOT IN (SELECT entry FROM lists WHERE list_name = 'indexed')")
