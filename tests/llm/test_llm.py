@@ -176,6 +176,22 @@ def test_restore(spark):
     assert empty == {} and encoding.restore(df.limit(0), ["id"], "title", empty).count() == 0
 
 
+@pytest.mark.parametrize("codec", ["cp1250", "cp1251", "cp850"])
+def test_encoding_learned_substitutions(spark, codec):
+    clean = [f"{w} {i}" for i in range(3) for w in ("Yağmur ışığı", "Beşiktaş dağı", "şoför ağı")]
+    bad = [t.encode("cp1254").decode(codec) for t in clean]
+    texts = spark.createDataFrame([(t,) for t in clean * 2 + bad], "text string")
+    votes = encoding.learn(texts)
+    df = spark.createDataFrame([(0, bad[0]), (1, bad[1]), (2, "Đorđe Ţepeş"), (3, clean[0])], "id long, title string")
+    got = {r["id"]: r["fixed"] for r in encoding.restore(df, ["id"], "title", votes, encoding.clean_words(texts)).collect()}
+    assert got == {0: clean[0], 1: clean[1]}
+
+
+def test_encoding_substitutions_chosen():
+    assert encoding.substitutions({"1:đğ": 3, "1:ğđ": 1, "1:đş": 2, "1:öü": 9, "1:ţş": 1, "1:’‘": 9}) == {"đ": "ğ"}
+    assert encoding.substitutions({"1:ýı": 1}) == encoding.TURKISH_BYTES
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------------------------
 
 ADDRESSES = [

@@ -26,6 +26,7 @@ _REPERTOIRE = [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x205
 LEAST_VOTES = 2
 _CORRECT = frozenset("ýþðÝÞÐçöüğışâîûÇÖÜĞİŞ")  # a sequence of letters that begins with one of these is read as correct text
 LOST = "�"
+_TURKISH = frozenset("çğıöşüâîûÇĞİÖŞÜÂÎÛ")
 # Turkish letters whose byte is another letter in Western Latin.
 TURKISH_BYTES = {"ý": "ı", "þ": "ş", "ð": "ğ", "Ý": "İ", "Þ": "Ş", "Ð": "Ğ"}
 
@@ -162,34 +163,39 @@ def plain_repair(text: str) -> str:
     return text if text.isascii() else repair(text)[0]
 
 
-_SUSPECT_WORD = re.compile(r"[^\W\d_]*[" + "".join(TURKISH_BYTES) + r"][^\W\d_]*")
-_PLAIN_TURKISH = re.compile(r"[A-Za-zçöüÇÖÜâîûÂÎÛ" + "".join(TURKISH_BYTES) + r"]+")
+@lru_cache(maxsize=64)
+def _suspect_words(letters: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """Words with one of these letters (signs count as letters too); words with no letters but these and Turkish ones."""
+    return re.compile(rf"(?:[^\W\d_]|[{letters}])*[{letters}](?:[^\W\d_]|[{letters}])*"), re.compile(rf"[A-Za-zçöüÇÖÜâîûÂÎÛ{letters}]+")
+
+
 _FOREIGN = re.compile(r"[áàãåæéèêëíìïñóòôõøúùßđčćšžłńśźżāēīūģķļņ]", re.I)  # letters that the neighbours of a foreign name hold
-_SUBSTITUTE = str.maketrans(TURKISH_BYTES)
 
 
-def suspects(text: str) -> list[str]:
-    """Words that Turkish bytes read as Western Latin may have given (no other foreign letter in them)."""
-    return [w for w in _SUSPECT_WORD.findall(text) if _PLAIN_TURKISH.fullmatch(w)]
+def suspects(text: str, swaps: dict[str, str] = TURKISH_BYTES) -> list[str]:
+    """Words that the substitutions, such as Turkish bytes read as Western Latin, may have given (no other foreign letter in them)."""
+    word, plain = _suspect_words("".join(swaps))
+    return [w for w in word.findall(text) if plain.fullmatch(w)]
 
 
-def substitute(text: str, known: frozenset[str], foreign: frozenset[str] = frozenset()) -> tuple[str, bool]:
-    """Undo the substitution in words whose clean form is known; if there are any, in the other suspects as well."""
-    words = suspects(text)
-    good = {w for w in words if w.translate(_SUBSTITUTE) in known and w not in foreign}
+def substitute(text: str, known: frozenset[str], foreign: frozenset[str] = frozenset(), swaps: dict[str, str] = TURKISH_BYTES) -> tuple[str, bool]:
+    """Undo the substitutions in words whose clean form is known; if there are any, in the other suspects as well."""
+    word, plain = _suspect_words("".join(swaps))
+    table = str.maketrans(swaps)
+    good = {w for w in suspects(text, swaps) if w.translate(table) in known and w not in foreign}
     if not good:
         return text, False
 
     def swap(m: re.Match[str]) -> str:
         w = m[0]
         if w in good:
-            return w.translate(_SUBSTITUTE)
+            return w.translate(table)
         near = text[max(0, m.start() - 24) : m.start()].split(" ")[-2:-1] + text[m.end() : m.end() + 24].split(" ")[1:2]
-        if w in foreign or not _PLAIN_TURKISH.fullmatch(w) or any(_FOREIGN.search(x) for x in near):
+        if w in foreign or not plain.fullmatch(w) or any(_FOREIGN.search(x.translate(table)) for x in near):
             return w
-        return w.translate(_SUBSTITUTE)
+        return w.translate(table)
 
-    return _SUSPECT_WORD.sub(swap, text), True
+    return word.sub(swap, text), True
 
 
 def explain(garbled: str, clean: str) -> list[str]:
@@ -259,12 +265,31 @@ def learn(texts: DataFrame, least: int = LEAST_VOTES) -> dict[str, int]:
     return {r["t"]: r["n"] for r in got}
 
 
-def chosen(votes: dict[str, int]) -> tuple[tuple[str, ...], bool, bool]:
-    """(wrong decoders, control characters, Turkish substitution) that the votes support, most votes first."""
+def substitutions(votes: dict[str, int], least: int = LEAST_VOTES) -> dict[str, str]:
+    """Letter -> original, from the votes '1:xy'. The six Turkish bytes go together, with any vote.
+
+    Of two twins with as many letters the clean one is a guess, so a vote that turns a Turkish letter into another one counts the
+    other way round. Turkish letters themselves, as ö and ü in two correct words, are no damage.
+    """
+    count: dict[tuple[str, str], int] = {}
+    for name, n in votes.items():
+        if name.startswith("1:") and len(name) == 4:
+            g, c = name[2:]
+            g, c = (c, g) if g in _TURKISH and c not in _TURKISH else (g, c)
+            if c in _TURKISH and g not in _TURKISH and not g.isascii() and g != LOST:
+                count[g, c] = count.get((g, c), 0) + n
+    out: dict[str, str] = {}
+    for (g, c), n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        if n >= least:
+            out.setdefault(g, c)
+    return out | (TURKISH_BYTES if any(votes.get(f"1:{g}{c}", 0) for g, c in TURKISH_BYTES.items()) else {})
+
+
+def chosen(votes: dict[str, int]) -> tuple[tuple[str, ...], bool, dict[str, str]]:
+    """(wrong decoders, control characters, substitutions) that the votes support, most votes first."""
     codecs = [c for c in WRONG if votes.get(c, 0) + votes.get("2:" + c, 0) > 0]
     codecs.sort(key=lambda c: (-(votes.get(c, 0) + votes.get("2:" + c, 0)), WRONG.index(c)))
-    swaps = sum(votes.get(f"1:{g}{c}", 0) for g, c in TURKISH_BYTES.items())
-    return tuple(codecs), votes.get("c1", 0) > 0, swaps > 0
+    return tuple(codecs), votes.get("c1", 0) > 0, substitutions(votes)
 
 
 def segments(html: Column) -> Column:
@@ -279,7 +304,7 @@ def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vo
     whole. vocabulary (column `word`) holds clean words; it decides the substitutions that correct foreign text also has.
     """
     codecs, c1, swaps = chosen(votes)
-    marks = damage_pattern(codecs, c1) + ("|[" + "".join(TURKISH_BYTES) + "]" if swaps else "")
+    marks = damage_pattern(codecs, c1) + ("|[" + "".join(swaps) + "]" if swaps else "")
     queries = query_loss(F.col("t"), html) if votes.get("lost:?") else F.lit(False)
     rows = df.select(*keys, F.col(text).alias("t")).withColumn("q", queries).where(F.col("q") | F.col("t").rlike(marks))
 
@@ -287,28 +312,28 @@ def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vo
     def fix(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in it:
             got = [repair(x, codecs, c1) for x in s]
-            yield pd.DataFrame({"fixed": [g[0] for g in got], "damaged": [g[1] for g in got], "lost": [g[2] for g in got], "words": [sorted(set(suspects(g[0]))) if swaps else [] for g in got]})
+            yield pd.DataFrame({"fixed": [g[0] for g in got], "damaged": [g[1] for g in got], "lost": [g[2] for g in got], "words": [sorted(set(suspects(g[0], swaps))) if swaps else [] for g in got]})
 
     fix = fix.asNondeterministic()  # else the filter below is evaluated with the UDF over all rows
     rows = rows.select(*keys, "q", fix("t").alias("f")).select(*keys, "f.fixed", (F.col("f.damaged") | F.col("q")).alias("damaged"), (F.col("f.lost") | F.col("q")).alias("lost"), "f.words")
     if swaps and vocabulary is not None:
-        rows = _with_substitutions(rows, keys, vocabulary)
+        rows = _with_substitutions(rows, keys, vocabulary, swaps)
     return rows.where("damaged").select(*keys, F.when(~F.col("lost"), F.col("fixed")).alias("fixed"), "lost")
 
 
-def _with_substitutions(rows: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
+def _with_substitutions(rows: DataFrame, keys: list[str], vocabulary: DataFrame, swaps: dict[str, str]) -> DataFrame:
     from veyra.session import cut
 
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()), "repaired")
     asked = rows.where(F.size("words") > 0).select("rid", F.explode("words").alias("w"))
-    asked = asked.select("rid", "w", F.translate("w", "".join(TURKISH_BYTES), "".join(TURKISH_BYTES.values())).alias("word"))
+    asked = asked.select("rid", "w", F.translate("w", "".join(swaps), "".join(swaps.values())).alias("word"))
     hits = asked.select("word").distinct().join(vocabulary, "word", "left_semi")
     known = asked.join(hits, "word", "left_semi").groupBy("rid").agg(F.collect_set("word").alias("known"))  # words of one text only
 
     @F.pandas_udf("struct<fixed:string,changed:boolean>")
     def swap(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for t, k in it:
-            got = [substitute(x, frozenset(y)) for x, y in zip(t, k)]
+            got = [substitute(x, frozenset(y), swaps=swaps) for x, y in zip(t, k)]
             yield pd.DataFrame({"fixed": [g[0] for g in got], "changed": [g[1] for g in got]})
 
     changed = rows.join(known, "rid").select("rid", swap("fixed", "known").alias("s"))
