@@ -187,6 +187,12 @@ def test_encoding_learned_substitutions(spark, codec):
     assert got == {0: clean[0], 1: clean[1]}
 
 
+def test_encoding_damage_after_many_runs():
+    late = "şu “söz” ğ ş € “ş”"
+    text = "ı " * 500 + "".join(encoding._bytes_as("cp1252")[b] for b in late.encode())
+    assert encoding.repair(text, ("iso8859-15", "cp1252"))[0] == "ı " * 500 + late
+
+
 def test_encoding_substitutions_chosen():
     assert encoding.substitutions({"1:đğ": 3, "1:ğđ": 1, "1:đş": 2, "1:öü": 9, "1:ţş": 1, "1:’‘": 9}) == {"đ": "ğ"}
     assert encoding.substitutions({"1:ýı": 1}) == encoding.TURKISH_BYTES

@@ -13,6 +13,7 @@ A field in which a damaged character cannot be restored (a replacement character
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,17 +121,17 @@ def _pass(text: str, codecs: tuple[str, ...], with_controls: bool) -> tuple[str,
 
 def _codec_order(text: str, codecs: tuple[str, ...]) -> tuple[str, ...]:
     """The codecs whose sequences cover most of this text's non-ASCII characters first: a text has one history as a rule."""
-    runs = _RUN.findall(text)[:400]
+    runs = Counter(_RUN.findall(text))
     best = {}
     for c in codecs:
         table = sequences(c)
         covered = 0
-        for s in runs:
+        for s, times in runs.items():
             i = 0
             while i < len(s):
                 for n in (3, 2):
                     if s[i : i + n] in table and len(s[i : i + n]) == n:
-                        covered += n
+                        covered += n * times
                         i += n
                         break
                 else:
