@@ -52,3 +52,22 @@ def test_snippet_analysis(spark, subjects):
 def test_source(spark):
     df = spark.createDataFrame([(True, True), (False, True), (False, False)], "o boolean, h boolean")
     assert [r["x"] for r in df.select(findings.source_of(F.col("o"), F.col("h")).alias("x")).collect()] == ["page", "snippet", None]
+
+
+def test_known_birth_date(spark, subjects):
+    written = ["05.01.1980", "5.1.1980", "05/01/1980", "5/1/1980", "05-01-1980", "5-1-1980", "1980-01-05", "5 Ocak 1980", "5 January 1980", "6 Ocak 1980"]
+    known = subjects.withColumn("dob", F.lit(dt.date(1980, 1, 5)))
+    r = spark.createDataFrame([(i, "C1", "https://e.example/x", "", f"since {w}") for i, w in enumerate(written)], "result_id long, case_id string, url string, title string, snippet string").coalesce(1)
+    assert {x["result_id"] for x in findings.snippet_analysis(r, known).where("array_contains(data_types, 'Date of birth')").collect()} == set(range(9))
+
+
+def test_photo_is_a_data_type(spark, tmp_path):
+    from veyra.plans import reference
+
+    html = ["<p>Ada Yılmaz<img src=a.jpg></p>", "<p>Ada Yılmaz</p>"]
+    f = [(i, "C1", "https://e.example/x", 200, h) for i, h in enumerate(html)]
+    spark.createDataFrame(f, "fetch_id long, case_id string, url string, status int, html string").write.parquet(f"{tmp_path}/fetches.parquet")
+    who = ("C1", "Ada Yılmaz", None, None, None, None, None, None, None, None, None, None, True)
+    spark.createDataFrame([who], SUBJECT + ", authorized boolean").write.parquet(f"{tmp_path}/subjects.parquet")
+    got = {r["fetch_id"]: r["data_types"] for r in reference.page_analysis(spark, str(tmp_path)).collect()}
+    assert got == {0: ["Full name", "Photo"], 1: ["Full name"]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veyra.functions import ident, text, urls
-from veyra.operators import classify, matrix, pages, report, results, tracker
+from veyra.operators import classify, findings, matrix, pages, report, results, tracker
 from veyra.sources import dictionaries, enrich, providers, sinks
 from veyra.session import spread
 from veyra.sources.tables import table
@@ -467,7 +467,8 @@ def page_analysis(spark, d):
     """Mentions, places and exposed data types of every page of an authorised subject."""
     s = dictionaries.authorized(table(spark, d, "subjects"))
     f = spread(table(spark, d, "fetches").where("trim(coalesce(html, '')) != ''").select("fetch_id", "case_id", "url", "status", "html")).withColumn("s", pages.sections_of("html")).drop("html")
-    return pages.analysis(f.join(s, "case_id")).select("fetch_id", "mentions", "places", "data_types", "contexts", "visible_text_len")
+    photo = findings.photos(table(spark, d, "fetches"), s)
+    return pages.analysis(f.join(s, "case_id").join(photo, "fetch_id", "left")).select("fetch_id", "mentions", "places", "data_types", "contexts", "visible_text_len")
 
 
 @query()
