@@ -206,6 +206,12 @@ ADDRESSES = [
 ]
 
 
+def test_linked_by_sound_within_a_district(spark):
+    rows = [(1, "ihlamur", "cadde", "5", "moda", "", "merkez", "sarihan"), (2, "ihlemor", "cadde", "5", "moda", "", "merkez", "sarihan"), (3, "ihlemor", "cadde", "6", "moda", "", "merkez", "sarihan"), (4, "ihlamur", "cadde", "5", "moda", "", "liman", "sarihan")]
+    t = spark.createDataFrame(rows, "tid long, street string, stype string, number string, hood string, postcode string, district string, province string")
+    assert [tuple(r) for r in addresses.linked(t).collect()] == [(1, 2)]
+
+
 def test_same_building(spark):
     more = [(100 + i, f"Alacalı Değirmen Caddesi No: {i + 30}, Üzümlü/Derbentli") for i in range(30)] + [(200 + i, f"{i + 50} Copper Bell Avenue, Ashcombe") for i in range(30)]
     df = spark.createDataFrame(ADDRESSES + more, "addr_id long, address_text string").withColumn("id", F.lit("clash"))

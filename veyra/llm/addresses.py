@@ -3,8 +3,8 @@
 1. parse    each text gives components: street, street type, door number, neighbourhood, postcode, places; flat, floor and unit go.
 2. respell  a rare phrase, else a rare word, of a street, neighbourhood or place that is one edit away from a far more frequent
             one of the same field becomes that one (deletion-variant join: nothing is compared without a shared variant).
-3. block    distinct component tuples meet on (street, number, district), on (street sound, number) where a district is
-            missing, and on (postcode, number).
+3. block    distinct component tuples meet on (street sound, number, district), on (street sound, number) where a district
+            is missing, and on (postcode, number).
 4. compare  agreement, disagreement or a missing value per component; expectation-maximisation over the counts of comparison
             patterns gives Fellegi-Sunter weights, the missing level included.
 5. pair     linked tuples expand to pairs of records. A tuple with many records is salted on both sides.
@@ -212,7 +212,7 @@ def linked(tuples: DataFrame) -> DataFrame:
     order = F.col("a_tid") < F.col("b_tid")
     known = lambda s, k: F.col(f"{s}_{k}") != ""
     blocks = [
-        a.where(known("a", "district")).join(b.where(known("b", "district")), [*same("street", "number", "district"), order]),
+        a.where(known("a", "district")).join(b.where(known("b", "district")), [*same("sound", "number", "district"), order]),
         a.where(~known("a", "district")).join(b, [*same("sound", "number"), F.col("a_tid") != F.col("b_tid")]),
         a.where(known("a", "postcode")).join(b.where(known("b", "postcode")), [*same("postcode", "number"), order]),
     ]
