@@ -26,11 +26,12 @@ _WS = re.compile(r"\s+")
 
 class Block(NamedTuple):
     text: str  # white space collapsed, not empty
-    path: tuple[str, ...]  # block-level ancestors, outermost first: tag or tag.class or tag#id
+    path: tuple[str, ...]  # block-level ancestors, outermost first: tag, #id and .classes as far as there are any
     link: int  # characters within links
     bold: int  # characters within b, strong or font
     code: int  # characters within code, pre, kbd or samp
     raw: str  # as parsed, white space kept
+    ids: tuple[int, ...] = ()  # running numbers of the elements in path
 
 
 def collapse(s: str) -> str:
@@ -44,20 +45,18 @@ def unescape(s: str) -> str:
 def _label(tag: str, attrs: str) -> str:
     if not attrs:
         return tag
-    a = {m[1].lower(): m[2].strip("\"'") for m in _ATTR.finditer(attrs) if m[1].lower() in ("id", "class")}
-    if a.get("id"):
-        return f"{tag}#{a['id'].lower()}"
-    if a.get("class"):
-        return f"{tag}.{'.'.join(sorted(a['class'].lower().split()))}"
-    return tag
+    a = {m[1].lower(): m[2].strip("\"'").lower() for m in _ATTR.finditer(attrs) if m[1].lower() in ("id", "class")}
+    ident = f"#{a['id']}" if a.get("id") else ""
+    return tag + ident + "".join("." + c for c in sorted(a.get("class", "").split()))
 
 
-def blocks(html: str | None) -> list[Block]:
-    """The blocks of a page in order; [] for null, blank or text-free html."""
+def blocks(html: str | None, hidden_tags: frozenset[str] = HIDDEN) -> list[Block]:
+    """The blocks of a page in order; [] for null, blank or text-free html. The text of hidden_tags does not count."""
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, str]] = []  # open block-level elements
+    stack: list[tuple[str, str, int]] = []  # open block-level elements
+    count = 0
     inline: list[str] = []
     parts: list[str] = []
     link = bold = code = 0
@@ -70,7 +69,7 @@ def blocks(html: str | None) -> list[Block]:
             raw = "".join(parts)
             text = collapse(raw)
             if text:
-                out.append(Block(text, tuple(x[1] for x in stack), link, bold, code, raw))
+                out.append(Block(text, tuple(x[1] for x in stack), link, bold, code, raw, tuple(x[2] for x in stack)))
             parts, link, bold, code = [], 0, 0, 0
 
     def text(s: str) -> None:
@@ -101,7 +100,7 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         closing = bool(m[1])
-        if tag in HIDDEN:
+        if tag in hidden_tags:
             if closing:
                 if tag in hidden:
                     while hidden.pop() != tag:
@@ -138,7 +137,8 @@ def blocks(html: str | None) -> list[Block]:
                     if stack[i][0] in _SIBLINGS[tag]:
                         del stack[i:]
                         break
-            stack.append((tag, _label(tag, m[3])))
+            count += 1
+            stack.append((tag, _label(tag, m[3]), count))
         elif tag not in VOID:
             if closing:
                 if tag in inline:
