@@ -1,9 +1,10 @@
 """Template residue and error-page text: a regularised linear classifier on hashed n-grams, length and title features.
 
-Weak labels come from the response status and from phrases; both are noisy (a page can fail with status 200, real content can
-come with an error status), so they only label where length and structure agree, and the classifier decides for all pages.
-It is fitted on a bounded sample of labelled pages (`sample`, by a hash of the id) of three quarters of the hosts and validated
-on the pages of the other hosts.
+Weak labels come from the response status and from a handful of phrases. They are thin on purpose: most notices carry none of the
+phrases, a page can fail with status 200, and real content can come with an error status. Status counts only where the text is
+short, phrases only where it is short or a placeholder stands open; all other pages are left to the classifier. It is fitted on a
+bounded sample of labelled pages (`sample`, by a hash of the id) of three quarters of the hosts and validated on the other
+hosts, on pages that the response status alone tells apart (`p7_validation`), which no phrase takes part in.
 """
 
 from __future__ import annotations
@@ -18,11 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veyra.functions.urls import hostname
 from veyra.llm.encoding import TURKISH_BYTES, plain_repair
-from veyra.llm.mainbody import score_blocks
-from veyra.operators.pageblocks import blocks, title
-from veyra.session import spread
+from veyra.llm.mainbody import walked
+from veyra.session import cut
 
 DIM = 1 << 15
 MARKS = 1 << 10  # ids below are marks: length, structure and title features
@@ -31,24 +30,14 @@ SAMPLE = 20_000
 L2 = 1e-4
 CUT = 0.5
 
-# Phrases of notices, by language; matched in the heading, the title or a short page.
-PHRASES = (
-    r"not found|page (?:is )?missing|no longer (?:available|here|exists)|nothing lives|does not exist|doesn.t exist|wrong turn|\b404\b|bad gateway|service unavailable|internal server error|server error|forbidden|access denied|"
-    r"unauthorized|too many requests|timed out|gateway time|temporarily (?:unavailable|closed|down)|under maintenance|maintenance|be back soon|sign in to|log in to|please (?:sign|log) in|members only|verify (?:that )?you are (?:a )?human|"
-    r"are you a robot|unusual traffic|captcha|checking your browser|security check|domain is (?:parked|for sale)|buy this domain|loading|please wait|enable javascript|javascript|does not run scripts|scripts are switched off|hit a problem|has expired|"
-    r"record not available|fatal error|traceback|warning:|exception|stack trace|stacktrace|null pointer|undefined|could not connect|"
-    r"bulunamad|böyle bir (?:kayıt|sayfa|üye|profil) yok|artık yok|yayından kaldırıl|artık geçerli değil|burada bir şey kalmamış|hata \d|hata oluştu|sorun oluştu|bakım çalışması|bakımda|kısa süreliğine kapalı|erişim (?:engel|reddedil|izni)|yetkiniz yok|"
-    r"giriş yap(?:ın|manız)|oturum aç|üye girişi|robot olmadığınız|doğrulanıyor|güvenlik denetimi|alan adı satılık|alan adı (?:park|satış)|yükleniyor|lütfen bekleyin|javascript|betik|komut dosya|çok fazla istek|zaman aşımı|"
-    r"nicht gefunden|nicht mehr (?:verfügbar|vorhanden)|seite existiert nicht|zugriff verweigert|wartungsarbeiten|wird geladen|bitte warten|anmelden, um|domain steht zum verkauf|skripte|serverfehler|"
-    r"introuvable|n.existe (?:plus|pas)|accès refusé|maintenance|chargement|veuillez patienter|connectez-vous|domaine est à vendre|activer javascript|erreur \d"
-)
-FILLER = r"lorem|ipsum|dolor|consectetur|adipiscing|incididunt|eiusmod|tempor|aliqua|veniam|nostrud|ullamco|laboris"
-SAMPLE_TEXT = r"(?:sample|dummy|placeholder|example) text|text goes here|title here|your (?:text|title|content) here|buraya (?:açıklama|metin|başlık|içerik)|örnek metin|açıklama yazın|yeni sayfa|new page|untitled|hier text|beispieltext|votre texte ici|coming soon|yakında"
+# The few phrases that weak labels use.
+PHRASES = r"\b404\b|not found|access denied|loading|javascript|bulunamad|erişim|yükleniyor|nicht gefunden|introuvable"
+FILLER = r"lorem ipsum|dolor sit amet"
 PLACEHOLDER = (
     r"\{\{\s*[\w.|\- ]+\s*\}\}|\$\{\s*[\w.]+\s*\}|<%=?\s*[\w.]+\s*%>|\[\[\s*[\w. ]+\s*\]\]|@@[\w.]+@@|##[\w.]+##|__[A-Za-zÇĞİÖŞÜçğıöşü][\w.]*?__|(?<![\w%])%[A-Za-zÇĞİÖŞÜçğıöşü_.]{3,}%|(?<![\w{$])\{[A-Za-zÇĞİÖŞÜçğıöşü_.]+\}"
     r"|\[(?!at\]|dot\]|nokta\]|et\]|punkt\]|arobase\]|point\])[A-Za-zÇĞİÖŞÜçğıöşü_.]{3,}\](?!\s*[\w.-]+\s*\[)|#\{\s*[\w.]+\s*\}|\{%\s*.*?%\}"
 )
-_phrase, _filler, _sample, _placeholder = (re.compile(x) for x in (PHRASES, rf"\b(?:{FILLER})\b", SAMPLE_TEXT, PLACEHOLDER))
+_phrase, _filler, _placeholder = (re.compile(x) for x in (PHRASES, FILLER, PLACEHOLDER))
 _word = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _turkish = str.maketrans(TURKISH_BYTES)
 
@@ -61,22 +50,30 @@ class Page(NamedTuple):
     tokens: list[int]  # hashed features, distinct
     weak: int  # 1 notice, 0 content, -1 no label
     length: int  # characters of the core text
+    by_status: int  # the label that status and length alone suggest
 
 
 def _h(s: str, low: int = MARKS, high: int = DIM) -> int:
     return low + zlib.crc32(s.encode("utf-8", "surrogatepass")) % (high - low)
 
 
-def features(html: str, status: int | None) -> Page:
-    """Features of one page. All of its text is read."""
-    bs = blocks(html)
-    scored = score_blocks(bs)
-    core = [(b, x) for b, x in zip(bs, scored) if x.score > 0] or [(b, x) for b, x in zip(bs, scored) if not x.kind]
-    head = _norm(title(html)).split(" | ")[0]
-    top = _norm(core[0][0].text) if core else ""
+class Piece(NamedTuple):
+    """What features() needs of a block (see mainbody.Scored)."""
+
+    text: str
+    score: float
+    tag: str
+    code: int
+
+
+def features(name: str, bs: list[Piece], status: int | None) -> Page:
+    """Features of one page from its title and blocks. All of its text is read."""
+    core = [b for b in bs if b.score > 0] or sorted(bs, key=lambda b: -b.score)[:1]
+    head = _norm(name or "").split(" | ")[0]
+    top = _norm(core[0].text) if core else ""
     holes = code = letters = 0
     body = []
-    for b, _ in core:
+    for b in core:
         t = plain_repair(b.text)
         found = _placeholder.findall(t)
         if found:
@@ -93,39 +90,33 @@ def features(html: str, status: int | None) -> Page:
     if len(words) >= 12:  # the same words over and over, also without full stops
         parts = [words[i : i + 40] for i in range(0, max(len(words) - 11, 1), 40)]
         repeated = max(repeated, 1 - sum(len(set(p)) / len(p) for p in parts) / len(parts) - 0.2)
-    filler = len(_filler.findall(text)) / max(len(words), 1)
-    sample = len(_sample.findall(text))
-    facts = sum(1 for b, _ in core if b.path and re.match(r"(dd|td|li)", b.path[-1]))
-    prose = sum(1 for s in sentences if len(s.split()) >= 5)
+    facts = sum(b.tag in ("dd", "td", "li") for b in core)
+    prose = sum(len(s.split()) >= 5 for s in sentences)
     short = letters < 200
-    phrase = bool(_phrase.search(top) or short and (_phrase.search(head) or facts < 2 and _phrase.search(text)))
 
     size = f"L{min(int(np.log2(letters + 1)), 14)}"
-    marks = [size, f"P{min(holes, 3)}", f"C{min(code, 2)}", f"R{int(max(repeated, 0) * 4)}", f"F{min(int(filler * 20), 6)}", f"S{min(sample, 3)}", f"facts{min(facts, 4)}", f"prose{min(prose, 4)}", f"blocks{min(len(bs), 6)}"]
-    marks += [f"{m}&{size}" for m in (f"prose{min(prose, 2)}", f"phrase{int(phrase)}", f"facts{min(facts, 2)}", f"holes{min(holes, 1)}")]
-    if _placeholder.search(plain_repair(title(html))):
+    marks = [size, f"P{min(holes, 3)}", f"C{min(code, 2)}", f"R{int(max(repeated, 0) * 4)}", f"facts{min(facts, 4)}", f"prose{min(prose, 4)}", f"blocks{min(len(bs), 6)}"]
+    marks += [f"{m}&{size}" for m in (f"prose{min(prose, 2)}", f"facts{min(facts, 2)}", f"holes{min(holes, 1)}")]
+    if _placeholder.search(plain_repair(name or "")):
         marks.append("title=hole")
     if head and top and (head in top or top in head):
         marks.append("title=top")
-    grams = [f"t:{w}" for w in _word.findall(head)] + [f"h:{w}" for w in _word.findall(top)[:40]]
-    short_words = [re.sub(r"\d+", "0", w) for w in words]
-    grams += [f"{'s' if short else 'b'}:{w}" for w in short_words] + [f"{'s' if short else 'b'}:{a} {b}" for a, b in zip(short_words, short_words[1:])]
+    grams = [f"t:{w}" for w in _word.findall(head)] + [f"h:{w}" for w in _word.findall(top)]
+    plain = [re.sub(r"\d+", "0", w) for w in words]
+    where = "s" if short else "b"
+    grams += [f"{where}:{w}" for w in plain] + [f"{where}:{a} {b}" for a, b in zip(plain, plain[1:])]
 
     bad = status is not None and status >= 400
+    phrase = bool(_phrase.search(text) or _phrase.search(head))
     weak = -1
-    if holes or filler > 0.3 or (sample and repeated >= 0.3) or sample >= 2 or repeated >= 0.5:
+    if holes or _filler.search(text) or repeated >= 0.5:
         weak = 1
-    elif short and (phrase or (bad and not facts)) and prose <= 2:
+    elif short and facts < 2 and (bad or phrase):
         weak = 1
-    elif letters >= 200 and prose >= 2 and not phrase and repeated < 0.5:
-        weak = 0
-    elif facts >= 2 and not phrase:
-        weak = 0
-    elif letters >= 400 and prose >= 4:
+    elif not bad and not phrase and (letters >= 200 and prose >= 2 or facts >= 3):
         weak = 0
-    elif not phrase and not bad and len(bs) >= 8 and head and top and (top in head or head in top):
-        weak = 0
-    return Page(sorted({_h(m, 0, MARKS) for m in marks} | {_h(g) for g in grams}), weak, letters)
+    by_status = 1 if bad and short else 0 if status == 200 and not short else -1
+    return Page(sorted({_h(m, 0, MARKS) for m in marks} | {_h(g) for g in grams}), weak, letters, by_status)
 
 
 class Model(NamedTuple):
@@ -169,18 +160,17 @@ def predict(model: Model, tokens: list[list[int]]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def page_features(fetches: DataFrame) -> DataFrame:
-    """fetch_id, held_out, tokens, weak, length of every fetch with non-blank html."""
-    rows = fetches.select("fetch_id", "html", F.col("status").cast("int").alias("status"), (F.pmod(F.xxhash64(F.coalesce(hostname(F.trim("url")), F.lit(""))), F.lit(4)) == 0).alias("held_out"))
-    rows = rows.where(F.col("html").rlike(r"(?U)[^\s]"))
+def page_features(pages: DataFrame) -> DataFrame:
+    """fetch_id, held_out, tokens, weak, length, by_status of every page (see mainbody.walked)."""
 
-    @F.pandas_udf("struct<tokens:array<int>,weak:int,length:int>")
-    def of(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for html, status in it:
-            got = [features(h, None if s is None or s != s else int(s)) for h, s in zip(html, status)]
-            yield pd.DataFrame({"tokens": [g.tokens for g in got], "weak": [g.weak for g in got], "length": [g.length for g in got]})
+    @F.pandas_udf("struct<tokens:array<int>,weak:int,length:int,by_status:int>")
+    def of(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for name, bs, status in it:
+            got = [features(n, [Piece(b["text"], b["score"], b["tag"], b["code"]) for b in x], None if s is None or s != s else int(s)) for n, x, s in zip(name, bs, status)]
+            yield pd.DataFrame({"tokens": [g.tokens for g in got], "weak": [g.weak for g in got], "length": [g.length for g in got], "by_status": [g.by_status for g in got]})
 
-    return spread(rows).withColumn("f", of("html", "status")).select("fetch_id", "held_out", "f.*")
+    held = F.pmod(F.xxhash64("host"), F.lit(4)) == 0
+    return pages.select("fetch_id", held.alias("held_out"), of("title", "blocks", "status").alias("f")).select("fetch_id", "held_out", "f.*")
 
 
 def train(feats: DataFrame, sample: int = SAMPLE) -> Model:
@@ -204,13 +194,16 @@ def scored(feats: DataFrame, model: Model) -> DataFrame:
     return feats.withColumn("p", p.asNondeterministic()("tokens"))  # once, also where p is filtered on
 
 
+def notices_of(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(fetch_id, held_out, weak, length, by_status, p) of every page (see mainbody.walked); p >= CUT is a notice, residue or filler."""
+    feats = cut(page_features(pages), "page-features")
+    return scored(feats, train(feats, sample)).drop("tokens")
+
+
 def notices(fetches: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(fetch_id, held_out, weak, length, p) of every fetch with non-blank html; p >= CUT is a notice, residue or filler.
+    """notices_of() every fetch with non-blank html.
 
     Null and blank html give no row (there is no page). Repeated deliveries are rows of their own. An empty table, or one whose
     weak labels are all alike, gets the label there is (content, if none). Very long pages are read whole.
     """
-    from veyra.session import cut
-
-    feats = cut(page_features(fetches), "page-features")
-    return scored(feats, train(feats, sample)).drop("tokens")
+    return notices_of(walked(fetches), sample)

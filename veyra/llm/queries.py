@@ -21,8 +21,8 @@ def p1_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    fetches = table(spark, folder, "fetches")
-    return mainbody.main_blocks(fetches, notices.notices(fetches).where(F.col("p") >= notices.CUT))
+    pages = mainbody.walked(table(spark, folder, "fetches"))
+    return mainbody.main_blocks(pages, notices.notices_of(pages).where(F.col("p") >= notices.CUT))
 
 
 def _personal(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
@@ -78,9 +78,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Agreement with the weak labels on hosts that the classifier has not seen."""
-    held = notices.notices(table(spark, folder, "fetches")).where("held_out AND weak >= 0")
-    return held.groupBy("weak").agg(F.count("*").alias("n_pages"), F.avg(((F.col("p") >= notices.CUT).cast("int") == F.col("weak")).cast("double")).alias("agreement"))
+    """Hosts that the classifier has not seen: agreement with the weak labels, and with what status and length alone suggest."""
+    held = notices.notices(table(spark, folder, "fetches")).where("held_out").withColumn("said", (F.col("p") >= notices.CUT).cast("int"))
+    held = held.select("said", F.explode(F.create_map(F.lit("weak"), "weak", F.lit("status"), "by_status")).alias("judge", "label")).where("label >= 0")
+    return held.groupBy("judge", "label").agg(F.count("*").alias("n_pages"), F.avg((F.col("said") == F.col("label")).cast("double")).alias("agreement"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
