@@ -1,10 +1,11 @@
 """Per-document text quality statistics and posterior text types (prose, list, table, junk).
 
-Statistics are JVM expressions. For the type, a document is cut into units (lines, wrapped lines joined). Thresholds on a unit's
-statistics are noisy labelling functions, each for one type or silent. Their accuracies are learned by expectation-maximisation
-on their agreements; a unit's posterior follows, and a document's type is the one with the larger share of its characters.
+Statistics are JVM expressions. For the type, a document is cut into units (lines, wrapped lines joined). Single thresholds on a
+unit's statistics are noisy labelling functions, each meant for one type; many fire on units of other types as well. How often each
+fires on each type - its accuracy and its errors - is learned by expectation-maximisation on their agreements and disagreements; a
+unit's posterior follows from which fire and which do not, and a document's type is the one with the larger share of its characters.
 
-The EM runs on the counts of distinct firing patterns (bounded by 2^functions, a few hundred in practice), not on rows.
+The EM runs on the counts of distinct firing patterns (bounded by 2^functions, some hundreds in practice), not on rows.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 KINDS = ("prose", "list", "table", "junk")
 COMMON_WORDS = 300  # top words by number of documents
 MAX_PATTERNS = 200_000
-START, PULL, FLOOR = 0.8, 20.0, 0.65
-UNKNOWN = (0.55, 0.15, 0.15, 0.15)
+HIT, MISS = 0.6, 0.12  # how often a function fires on units of its type and of others, before anything is learned
+PULL = 0.11  # weight of that beside what is learned, as a share of all units
 _SPACE = "[ \\t\\n\\f\\r\u00a0]+"
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
@@ -70,6 +71,8 @@ _log = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\b(?:INFO|WARN|ERR|ERROR|DEBUG|
 _code = re.compile(r"[{}]|=>|==|&&|\|\||\(\)|function\b|\breturn\b|\bvar\b|</|/>")
 _value = re.compile(r"^(?:[+\d().,:/%\s-]*\d[+\d().,:/%\s-]*|-|yes|no|unknown|evet|hayır|ja|nein|oui|non)?$", re.I)
 _wordish = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_items = re.compile(r"\s*(?:[,;·•|]|\s[>/–-]\s)\s*")
+_hex = re.compile(r"[0-9a-f]{2}")
 _vowel = re.compile(r"[aeıioöuüâîûáéíóúàèìòùäëïêôyAEIİOÖUÜÂÎÛÁÉÍÓÚÀÈÄËÏÊÔY]")
 
 
@@ -111,10 +114,10 @@ def units(text: str) -> list[str]:
 
 
 NAMES = (
-    "prose_sentence", "prose_common", "prose_lower", "prose_long",
-    "list_bullet", "list_short_run", "list_inline", "list_links", "list_no_verb",
-    "table_cells", "table_keys", "table_columns", "table_values",
-    "junk_symbols", "junk_token", "junk_repeats", "junk_letters", "junk_code", "junk_log", "junk_pile",
+    "prose_ended", "prose_common", "prose_lower", "prose_long", "prose_varied",
+    "list_short", "list_neighbours", "list_bullet", "list_items", "list_url", "list_unknown", "list_even", "list_parts",
+    "table_cells", "table_many", "table_key", "table_keys", "table_values",
+    "junk_symbols", "junk_token", "junk_repeats", "junk_letters", "junk_code", "junk_log", "junk_same", "junk_unended", "junk_few", "junk_wide",
 )
 _OF = [KINDS.index(n.split("_")[0]) for n in NAMES]
 
@@ -123,94 +126,102 @@ def votes(text: str, common: frozenset[str]) -> list[tuple[int, int]]:
     """(firing pattern, characters) of each unit of a text; the whole text is read."""
     us = units(text)
     n = len(us)
-    short = [len(u.split()) <= 7 and len(u) <= 90 and not _end.search(u) for u in us]
-    short = [s or (len(u.split()) <= 6 and bool(re.search(r"(?:A\.Ş|Şti|Ltd|Inc|Co)\.$", u.strip()))) for s, u in zip(short, us)]
     cells = [_cells(u) for u in us]
-    keyed = [bool(_keyed.match(u)) and "://" not in u and len(u.split()) <= 14 for u in us]
+    split = [u.split() for u in us]
+    ended = [bool(_end.search(u)) for u in us]
+    keyed = [bool(_keyed.match(u)) and "://" not in u for u in us]
+    short = [len(w) <= 7 and len(u) <= 90 and not e and not k for u, w, e, k in zip(us, split, ended, keyed)]
     out = []
     for i, u in enumerate(us):
-        s = u.strip()
-        words = s.split()
-        letters = [m for m in _wordish.findall(s)]
-        nl = sum(map(len, letters))
+        s, words = u.strip(), split[i]
+        m, chars = max(len(words), 1), max(len(s.replace(" ", "")), 1)
+        letters = sum(map(len, _wordish.findall(s)))
+        vowels = len(_vowel.findall(s)) / letters if letters else 0.0
         near = [j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < n]
-        symbols = sum(1 for ch in s if not (ch.isalnum() or ch.isspace()))
         d, c = cells[i]
         same = any(cells[j][0] == d and abs(len(cells[j][1]) - len(c)) <= (0 if d != "  " else 1) for j in near)
         low = [w.strip(".,;:!?\"'()[]«»“”…-–").lower() for w in words]
-        known = sum(w in common for w in low)
-        distinct = _variety(low)
+        known, variety = sum(w in common for w in low), _variety(low)
         lower = sum(w[:1].islower() for w in words)
-        ended = bool(_end.search(s))
-        bullet = bool(_bullet.match(u))
-        vowels = len(_vowel.findall(s)) / nl if nl else 0.0
-        longest = max(map(len, words), default=0)
-        values = sum(1 for x in c if _value.match(x.strip())) if len(c) >= 3 else 0
-        items = [x.strip() for x in re.split(r"\s*(?:[,;·•|]|\s[>/–-]\s)\s*", s) if x.strip()]
+        symbols = sum(1 for ch in s if not (ch.isalnum() or ch.isspace()))
+        items = [x for x in _items.split(s) if x.strip()]
         item_words = sum(len(x.split()) for x in items) / max(len(items), 1)
-        itemised = len(items) >= 5 and item_words <= 4.5 and lower <= 0.75 * len(words)
-        normal = nl >= 0.6 * len(s.replace(" ", "")) and 0.25 <= vowels <= 0.75 and distinct > 0.6 and not itemised
+        longest, kinds = max(map(len, words), default=0), len(set(s))
         fire = {
-            "prose_sentence": len(words) >= 5 and ended and normal and lower >= 0.3 * len(words) or len(words) >= 6 and ended and s.isupper() and normal,
-            "prose_common": len(words) >= 4 and known >= 0.2 * len(words) and normal and known >= 2,
-            "prose_lower": len(words) >= 8 and lower >= 0.6 * len(words) and normal and not (len(items) >= 5 and item_words < 4),
-            "prose_long": len(words) >= 15 and normal and item_words >= 5,
-            "list_bullet": bullet and len(words) <= 14 and len(c) < 5,
-            "list_short_run": short[i] and len(c) < 4 and sum(short[j] for j in near) >= 2 and not keyed[i],
-            "list_inline": len(items) >= 5 and item_words <= 4.5 and not (ended and lower > 0.6 * len(words)) and not (same and values) and symbols < 0.25 * len(s) and "{" not in s,
-            "list_links": bool(_url.match(u)) and (n == 1 or any(_url.match(us[j]) for j in near)),
-            "list_no_verb": short[i] and known == 0 and sum(short[j] for j in near) >= 1 and not keyed[i] and nl > 0 and symbols < 0.4 * len(s),
-            "table_cells": len(c) >= 4 and same and d != "  ",
-            "table_keys": keyed[i] and sum(keyed[j] for j in near) >= 1,
-            "table_columns": d == "  " and len(c) >= 3 and same,
-            "table_values": len(c) >= 4 and same and values >= 0.3 * len(c),
-            "junk_symbols": len(s) >= 8 and symbols > 0.45 * len(s.replace(" ", "")) and not (d == "|" and same),
-            "junk_token": longest > 45 and not _url.match(u) and "://" not in s,
-            "junk_repeats": (len(words) >= 8 and distinct < 0.4) or (len(s) >= 12 and len(set(s)) <= 4),
-            "junk_letters": nl >= 12 and vowels < 0.2 or (len(words) >= 8 and all(re.fullmatch(r"[0-9a-fA-F]{2}", w) for w in words)),
-            "junk_code": len(_code.findall(s)) >= 4 and symbols > 0.1 * len(s),
-            "junk_log": bool(_log.search(s)) and symbols > 0.08 * len(s),
-            "junk_pile": len(words) >= 12 and not ended and len(items) <= max(1, len(words) // 12) and distinct < 0.65 and not bullet,
+            "prose_ended": ended[i] and m >= 5,
+            "prose_common": known >= 0.15 * m and known >= 2,
+            "prose_lower": lower >= 0.5 * m and m >= 4,
+            "prose_long": m >= 12 and item_words >= 5,
+            "prose_varied": m >= 8 and variety > 0.7,
+            "list_short": short[i],
+            "list_neighbours": sum(short[j] for j in near) >= 2,
+            "list_bullet": bool(_bullet.match(u)),
+            "list_items": len(items) >= 5 and item_words <= 4.5,
+            "list_url": bool(_url.match(u)),
+            "list_unknown": known == 0 and letters > 0 and m <= 7 and not keyed[i],
+            "list_even": len(items) >= 4 and item_words <= 4.5 and d in ("", ",", ";"),
+            "list_parts": len(items) >= 8 and item_words <= 3.5,
+            "table_cells": len(c) >= 3 and same,
+            "table_many": len(c) >= 4 and same,
+            "table_key": keyed[i],
+            "table_keys": keyed[i] and any(keyed[j] for j in near),
+            "table_values": len(c) >= 3 and sum(1 for x in c if _value.match(x.strip())) >= 0.3 * len(c),
+            "junk_symbols": symbols > 0.3 * chars,
+            "junk_token": longest > 40 and "://" not in s,
+            "junk_repeats": m >= 8 and variety < 0.5 or len(s) >= 12 and kinds <= 4,
+            "junk_letters": letters >= 10 and vowels < 0.22 or m >= 6 and all(_hex.fullmatch(w) for w in low),
+            "junk_code": len(_code.findall(s)) >= 2,
+            "junk_log": bool(_log.search(s)),
+            "junk_same": m >= 6 and variety < 0.65 and item_words > 3,
+            "junk_unended": m >= 12 and not ended[i] and item_words > 8,
+            "junk_few": len(s) >= 12 and kinds <= 4,
+            "junk_wide": letters >= 10 and letters / m > 13 and "." not in s,
         }
         out.append((sum(1 << k for k, name in enumerate(NAMES) if fire[name]), len(s)))
     return out
 
 
+def start() -> np.ndarray:
+    """Firing rates by function and type before anything is learned."""
+    rates = np.full((len(NAMES), len(KINDS)), MISS)
+    rates[np.arange(len(NAMES)), _OF] = HIT
+    return rates
+
+
 def fit(patterns: dict[int, float], steps: int = 60) -> np.ndarray:
-    """EM over firing patterns: the accuracy of each labelling function, P(unit is of its type | it fires).
+    """EM over firing patterns: P(function fires | type of the unit), functions by types.
 
-    A function that does not fire abstains and says nothing. All start at START, with PULL pseudo-counts at that value, so a rare
-    function does not run off; FLOOR says that each is right more often than not.
+    The types are equally likely beforehand. The start counts as PULL of all units, so that a type keeps its name and rare
+    functions do not run off; it is a share, so the result does not depend on the size of the corpus.
     """
-    accuracy = np.full(len(NAMES), START)
+    rates = start()
     keys = sorted(patterns)
     if not keys:
-        return accuracy
-    x, w, own = firing(keys), np.array([patterns[p] for p in keys], dtype=float), np.array(_OF)
+        return rates
+    x, w = firing(keys), np.array([patterns[p] for p in keys], dtype=float)
+    pull, first = PULL * w.sum(), rates
     for _ in range(steps):
-        q = posterior(x, accuracy)
-        right = (q[:, own] * x * w[:, None]).sum(0)
-        accuracy = np.clip((right + PULL * START) / ((x * w[:, None]).sum(0) + PULL), FLOOR, 0.995)
-    return accuracy
+        q = posterior(x, rates) * w[:, None]
+        rates = np.clip((x.T @ q + pull * first) / (q.sum(0) + pull), 0.002, 0.998)
+    return rates
 
 
 def firing(keys: list[int]) -> np.ndarray:
     return np.array([[(p >> k) & 1 for k in range(len(NAMES))] for p in keys], dtype=float).reshape(len(keys), len(NAMES))
 
 
-def posterior(x: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
-    """Types of units given which functions fire, the types equally likely beforehand; where none fires, nothing speaks against
-    prose and UNKNOWN holds."""
-    own, wrong = np.array(_OF), (1 - accuracy) / (len(KINDS) - 1)
-    logs = np.stack([x @ np.log(np.where(own == kind, accuracy, wrong)) for kind in range(len(KINDS))], axis=1)
+def posterior(x: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Types of units given which functions fire and which do not, the types equally likely beforehand."""
+    logs = x @ np.log(rates) + (1 - x) @ np.log(1 - rates)
     e = np.exp(logs - logs.max(1, keepdims=True))
-    return np.where(x.sum(1, keepdims=True) > 0, e / e.sum(1, keepdims=True), np.array(UNKNOWN))
+    return e / e.sum(1, keepdims=True)
 
 
-def text_types(docs: DataFrame, common: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+def text_types(docs: DataFrame, common: list[str], text: str = "text", key: str = "doc_id", learned: bool = True) -> DataFrame:
     """(key, kind, prose, list, table, junk): expected share of each type in the characters of each non-blank document and
     the type with the larger share (junk, table, list where non-prose is over a half). Null and blank texts give no row;
-    repeated rows are rows of their own; an empty table gives none."""
+    repeated rows are rows of their own; an empty table gives none. learned=False leaves the functions at their start, to measure
+    what the learning adds."""
     from veyra.session import cut
 
     words = frozenset(common)
@@ -222,10 +233,11 @@ def text_types(docs: DataFrame, common: list[str], text: str = "text", key: str
 
     rows = docs.select(key, F.col(text).alias("t")).where(F.col("t").rlike(r"(?U)[^\s]"))
     fired = cut(rows.select(key, F.monotonically_increasing_id().alias("row"), of("t").alias("u")), "units")
-    counts = fired.select(F.explode("u.pattern").alias("p")).groupBy("p").agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    # A pattern counts once a document, else the rows of a few long tables would teach it all.
+    counts = fired.select(F.explode(F.array_distinct("u.pattern")).alias("p")).groupBy("p").agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(counts) > MAX_PATTERNS:
         raise ValueError("more firing patterns than labelling functions allow")
-    model = fit({r["p"]: r["n"] for r in counts})
+    model = fit({r["p"]: r["n"] for r in counts}) if learned else start()
     known = {}
     if counts:
         keys = [r["p"] for r in counts]
