@@ -5,8 +5,8 @@
             one of the same field becomes that one (deletion-variant join: nothing is compared without a shared variant).
 3. block    distinct component tuples meet on (street sound, number, district), on (street sound, number) where a district
             is missing, and on (postcode, number).
-4. compare  agreement, disagreement or a missing value per component; expectation-maximisation over the counts of comparison
-            patterns gives Fellegi-Sunter weights, the missing level included.
+4. compare  agreement, disagreement or a missing value per component, and near agreement of streets; expectation-maximisation
+            over the counts of comparison patterns gives Fellegi-Sunter weights, the missing level included. They decide.
 5. pair     linked tuples expand to pairs of records. A tuple with many records is salted on both sides.
 """
 
@@ -21,7 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from veyra.session import cut
 
 # Street types and markers after folding to lower-case ASCII.
 STREET_TYPES = {
@@ -134,45 +135,48 @@ def respellings(words: DataFrame) -> DataFrame:
     return near.groupBy("field", "word").agg(F.max_by("right", F.struct("n", "right")).alias("right"))
 
 
+def _said(rows: DataFrame) -> DataFrame:
+    """(tid, n, field, i, p): the phrases of each tuple."""
+    one = lambda field, c: F.array(F.struct(F.lit(field).alias("field"), F.lit(0).alias("i"), F.col(c).alias("p")))
+    places = F.transform("places", lambda x, i: F.struct(F.lit("place").alias("field"), i.alias("i"), x.alias("p")))
+    return rows.select("tid", "n", F.inline(F.concat(one("street", "street"), one("hood", "hood"), places))).where("p != ''")
+
+
 def respell(rows: DataFrame) -> DataFrame:
-    """rows with the words of street, hood and places respelt."""
-    fields = rows.select(F.explode(F.array(
-        F.struct(F.lit("street").alias("field"), F.split("street", " ").alias("ws")), F.struct(F.lit("hood").alias("field"), F.split("hood", " ").alias("ws")), F.struct(F.lit("place").alias("field"), F.flatten(F.transform("places", lambda p: F.split(p, " "))).alias("ws"))
-    )).alias("f")).select("f.field", F.explode("f.ws").alias("word")).where("word != ''")
-    right = respellings(fields.groupBy("field", "word").agg(F.count("*").alias("n")))
-    said = rows.select(F.explode(F.concat(F.array(F.struct(F.lit("street").alias("field"), F.col("street").alias("p")), F.struct(F.lit("hood").alias("field"), F.col("hood").alias("p"))), F.transform("places", lambda x: F.struct(F.lit("place").alias("field"), x.alias("p"))))).alias("f")).select("f.*").where("p != ''")
-    phrases = said.groupBy("field", "p").agg(F.count("*").alias("n"))
+    """rows (tid, n, street, stype, number, hood, postcode, places) with the phrases of street, hood and places respelt."""
+    said = _said(rows)
+    phrases = cut(said.groupBy("field", "p").agg(F.sum("n").alias("n")), "address-phrases")
+    words = phrases.select("field", "p", "n", F.posexplode(F.split("p", " ")).alias("i", "word")).where("word != ''")
+    right = respellings(words.groupBy("field", "word").agg(F.sum("n").alias("n")))
     # A phrase one edit from a frequent phrase becomes that; only then are its words looked at one by one.
     whole = respellings(phrases.select("field", F.col("p").alias("word"), "n")).select("field", F.col("word").alias("p"), F.col("right").alias("whole"))
-    words = phrases.select("field", "p", F.posexplode(F.split("p", " ")).alias("i", "word")).join(right, ["field", "word"], "left")
-    by_word = words.groupBy("field", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("right", "word").alias("w")))), lambda x: x["w"]), " ").alias("q"))
-    fixed = by_word.join(whole, ["field", "p"], "left").select("field", "p", F.coalesce("whole", "q").alias("q")).where("p != q")
-    of = lambda field, name: fixed.where(F.col("field") == field).select(F.col("p").alias(name), F.col("q").alias(name + "_right"))
-    out = rows.withColumns({"place1": F.try_element_at("places", F.lit(1)), "place2": F.try_element_at("places", F.lit(2))})
-    for field, name in (("street", "street"), ("hood", "hood"), ("place", "place1"), ("place", "place2")):
-        out = out.join(of(field, name), name, "left").withColumn(name, F.coalesce(name + "_right", name)).drop(name + "_right")
-    return out.drop("places")
+    by_word = words.join(right, ["field", "word"], "left").groupBy("field", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("right", "word").alias("w")))), lambda x: x["w"]), " ").alias("q"))
+    fixed = cut(by_word.join(whole, ["field", "p"], "left").select("field", "p", F.coalesce("whole", "q").alias("q")).where("p != q"), "address-respelt")
+    got = said.join(fixed, ["field", "p"], "left").select("tid", F.struct("field", "i", F.coalesce("q", "p").alias("p")).alias("x"))
+    got = got.groupBy("tid").agg(F.array_sort(F.collect_list("x")).alias("x"))  # the phrases of one address
+    of = lambda field: F.transform(F.filter("x", lambda x: x["field"] == field), lambda x: x["p"])
+    got = got.select("tid", F.coalesce(F.get(of("street"), F.lit(0)), F.lit("")).alias("street"), F.coalesce(F.get(of("hood"), F.lit(0)), F.lit("")).alias("hood"), of("place").alias("places"))
+    return rows.select("tid", "stype", "number", "postcode").join(got, "tid")
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """District and province: in texts with two places the smaller comes first as a rule; a single place is a province if that is
-    how it mostly stands in the texts with two."""
-    two = rows.where("place1 is not null and place2 is not null")
-    seen = two.select(F.explode(F.array(F.struct(F.col("place1").alias("p"), F.lit(1).alias("first")), F.struct(F.col("place2").alias("p"), F.lit(0).alias("first")))).alias("s")).select("s.*")
-    big = seen.groupBy("p").agg(F.avg("first").alias("share")).where("share < 0.5").select("p")
-    b1, b2 = big.withColumnRenamed("p", "place1").withColumn("big1", F.lit(True)), big.withColumnRenamed("p", "place2").withColumn("big2", F.lit(True))
-    out = rows.join(b1, "place1", "left").join(b2, "place2", "left")
-    is1, is2 = F.coalesce("big1", F.lit(False)), F.coalesce("big2", F.lit(False))
-    district = F.when(~is1, F.col("place1")).when(F.col("place2").isNotNull() & ~is2, F.col("place2"))
-    province = F.when(is2, F.col("place2")).when(is1, F.col("place1"))
-    return out.select("id", "street", "stype", "number", "hood", "postcode", F.coalesce(district, F.lit("")).alias("district"), F.coalesce(province, F.lit("")).alias("province"))
+    """District and province out of all places: in texts with several the district comes first as a rule; a place is a province
+    if it mostly stands after another one."""
+    seen = rows.where(F.size("places") > 1).select(F.posexplode("places").alias("i", "p"))
+    big = seen.groupBy("p").agg(F.avg((F.col("i") == 0).cast("int")).alias("share")).where("share < 0.5").select("p", F.lit(True).alias("big"))
+    each = rows.select("tid", F.posexplode("places").alias("i", "p")).join(big, "p", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    first = lambda cond: F.min_by(F.when(cond, F.col("p")), F.when(cond, F.col("i")))
+    both = each.groupBy("tid").agg(first(~F.col("big")).alias("district"), first(F.col("big")).alias("province"))
+    out = rows.drop("places").join(both, "tid", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("district", "province")})
 
 
 COMPARED = ("district", "stype", "hood", "postcode", "province", "street")
 
 
 def estimate(patterns: dict[tuple[int, ...], int], steps: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
-    """EM for the two-class model with three levels (0 differs, 1 agrees, 2 missing) per component: share of matches, m, u."""
+    """EM for the two-class model with three levels (0 differs, 1 agrees, 2 missing; of streets 2 is near) per component: share of
+    matches, m, u."""
     k = len(COMPARED)
     keys = sorted(patterns)
     x, w = np.array(keys, dtype=int).reshape(len(keys), k), np.array([patterns[p] for p in keys], dtype=float)
@@ -200,54 +204,52 @@ def match_probability(x: np.ndarray, share: float, m: np.ndarray, u: np.ndarray)
 SOUND = r"[aeiou ]+"
 
 
-def linked(tuples: DataFrame) -> DataFrame:
-    """(a, b): ids of distinct tuples that denote one building, a < b. tuples: tid, street, stype, number, district, hood,
-    postcode, province."""
-    from veyra.session import cut
+NEAR = 2  # edits between streets that count as near
+MATCH = 0.5
+
 
+def linked(tuples: DataFrame, least: float = MATCH) -> DataFrame:
+    """(a, b): ids of distinct tuples that denote one building, a < b: those that meet in a block and whose weights give a
+    probability of at least `least`. tuples: tid, street, stype, number, district, hood, postcode, province."""
     t = tuples.withColumn("sound", F.regexp_replace("street", SOUND, ""))
-    cols = [c for c in t.columns]
-    a, b = t.select([F.col(c).alias("a_" + c) for c in cols]), t.select([F.col(c).alias("b_" + c) for c in cols])
-    same = lambda *ks: [F.col("a_" + k) == F.col("b_" + k) for k in ks]
-    order = F.col("a_tid") < F.col("b_tid")
-    known = lambda s, k: F.col(f"{s}_{k}") != ""
-    blocks = [
-        a.where(known("a", "district")).join(b.where(known("b", "district")), [*same("sound", "number", "district"), order]),
-        a.where(~known("a", "district")).join(b, [*same("sound", "number"), F.col("a_tid") != F.col("b_tid")]),
-        a.where(known("a", "postcode")).join(b.where(known("b", "postcode")), [*same("postcode", "number"), order]),
-    ]
-    low, high = F.least("a_tid", "b_tid"), F.greatest("a_tid", "b_tid")
+    lacking, has_code = F.col("district") == "", F.col("postcode") != ""
+    key = lambda kind, cond, *cs: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), *cs).alias("key")))
+    exact, code = key("d", ~lacking, "sound", "number", "district"), key("p", has_code, "postcode", "number")
+    cols = ["tid", "sound", "street", "stype", "number", "district", "hood", "postcode", "province"]
+    side = lambda s, *keys: t.select(F.inline(F.array_compact(F.array(*keys))), *[F.col(c).alias(f"{s}_{c}") for c in cols])
+    a = side("a", exact, code, key("n", lacking, "sound", "number"))
+    b = side("b", exact, code, key("n", F.lit(True), "sound", "number")).drop("kind")
+    met = a.join(b, "key").where((F.col("a_tid") < F.col("b_tid")) | (F.col("kind") == "n") & (F.col("a_tid") != F.col("b_tid")))
+    met = met.where((F.col("a_number") == F.col("b_number")))
     level = lambda k: (F.when((F.col("a_" + k) == "") | (F.col("b_" + k) == ""), 2).when(F.col("a_" + k) == F.col("b_" + k), 1).otherwise(0)).alias("l_" + k)
-    near = (F.levenshtein("a_street", "b_street") <= 2).cast("int")
-    compared = [x.select(low.alias("a"), high.alias("b"), *[level(k) for k in COMPARED[:-1]], near.alias("l_street"), (F.col("a_street") == F.col("b_street")).alias("exact")) for x in blocks]
-    pairs = cut(compared[0].unionByName(compared[1]).unionByName(compared[2]).distinct(), "address-pairs")
+    street = F.when(F.col("a_street") == F.col("b_street"), 1).when(F.levenshtein("a_street", "b_street") <= NEAR, 2).otherwise(0).alias("l_street")
+    low, high = F.least("a_tid", "b_tid"), F.greatest("a_tid", "b_tid")
+    pairs = cut(met.select(low.alias("a"), high.alias("b"), *[level(k) for k in COMPARED[:-1]], street).distinct(), "address-pairs")
     names = ["l_" + k for k in COMPARED]
     counts = {tuple(r[n] for n in names): r["n"] for r in pairs.groupBy(*names).agg(F.count("*").alias("n")).collect()}  # at most 3^6
     share, m, u = estimate(counts)
     keys = sorted(counts)
     p = match_probability(np.array(keys, dtype=int).reshape(len(keys), len(names)), share, m, u) if keys else []
     weights = pairs.sparkSession.createDataFrame([(*map(int, k), float(v)) for k, v in zip(keys, p)], ", ".join(f"{n} int" for n in names) + ", p double")
-    # What makes another building (district, street type, street) is checked exactly after the weights.
-    certain = (F.col("l_district") != 0) & (F.col("l_stype") != 0) & (F.col("l_street") == 1)
-    return pairs.join(F.broadcast(weights), names).where((F.col("p") >= 0.5) & certain).select("a", "b").distinct()
+    return pairs.join(F.broadcast(weights), names).where(F.col("p") >= least).select("a", "b")
 
 
 SALT_ROWS = 2_000
 
 
-def same_building(records: DataFrame, text: str = "address_text", key: str = "addr_id") -> DataFrame:
+def same_building(records: DataFrame, text: str = "address_text", key: str = "addr_id", least: float = MATCH) -> DataFrame:
     """(addr_a, addr_b): all pairs of records of one building, addr_a < addr_b.
 
     Null, blank and unreadable addresses pair only with records written exactly alike (blank ones with none). Repeated rows are
     records of their own. An empty table gives no pairs.
     """
-    from veyra.session import cut
-
-    rows = cut(placed(respell(cut(parsed(records, text, key), "addresses"))), "components")
+    read = parsed(records, text, key).withColumn("wid", F.xxhash64("street", "stype", "number", "hood", "postcode", F.array_join("places", "/")))
+    read = cut(read, "addresses")
+    written = read.groupBy("wid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("street", "stype", "number", "hood", "postcode", "places")])
     parts = ["street", "stype", "number", "hood", "postcode", "district", "province"]
-    rows = rows.withColumn("tid", F.xxhash64(*parts))
-    tuples = rows.select("tid", *parts).distinct()
-    links = linked(tuples)
+    spelt = cut(placed(respell(written.withColumnRenamed("wid", "tid"))).select(F.col("tid").alias("wid"), F.xxhash64(*parts).alias("tid"), *parts), "components")
+    rows = read.select("id", "wid").join(spelt.select("wid", "tid"), "wid")
+    links = linked(spelt.select("tid", *parts).distinct(), least)
     known = rows.select("id", "tid")
     plain = records.select(F.col(key).alias("id"), F.trim(text).alias("t")).where("t != ''").join(known.select("id"), "id", "left_anti").select("id", F.xxhash64("t", F.lit("as written")).alias("tid"))
     members = known.unionByName(plain)
