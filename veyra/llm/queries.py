@@ -42,7 +42,7 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
 def p3_reliabilities(spark: SparkSession, folder: str) -> DataFrame:
     """Estimated accuracy of each labeler."""
     report = _personal(spark, folder)[1]
-    rows = [(personal.TYPES[t], name, float(a)) for t, (_, acc) in report.items() for name, a in zip(personal.LABELERS[t], acc)]
+    rows = [(personal.TYPES[t], name, float(a)) for t, r in report.items() for name, a in zip(personal.LABELERS[t], r.accuracy())]
     return spark.createDataFrame(rows, "pii_type string, labeler string, accuracy double")
 
 
