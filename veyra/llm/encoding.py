@@ -3,7 +3,8 @@
 1. twins     texts that are equal once non-ASCII characters are stripped are near-twins; of each set, the one with the fewest
              non-ASCII characters (then the most frequent) is taken as clean.
 2. align     between twins the ASCII parts match, so their non-ASCII runs pair up; each pair votes for the transformations (wrong
-             decoder, or single-character substitution) that turn the clean run into the garbled one.
+             decoder, single-character substitution, or, where no known decoder explains it, mapping of a garbled sequence) that
+             turn the clean run into the garbled one.
 3. apply     transformations with enough votes repair all records, run by run, once and then again for text damaged twice.
              Substitutions that are also letters of correct foreign text apply to a word only if the word they give is known
              from clean text, or if the field holds other such words.
@@ -60,20 +61,24 @@ def controls() -> dict[str, str]:
     return {chr(i): table[i] for i in range(0x80, 0xA0) if table[i] != chr(i)}
 
 
+Learned = tuple[tuple[str, str], ...]  # garbled sequence, original character: of decoders that WRONG does not name
+
+
 @lru_cache(maxsize=64)
-def _merged(codecs: tuple[str, ...], with_controls: bool) -> tuple[dict[str, str], int, str, str]:
+def _merged(codecs: tuple[str, ...], with_controls: bool, learned: Learned = ()) -> tuple[dict[str, str], int, str, str]:
     """All sequences of the codecs, the first codec winning; the longest length; openers; what can be a torn rest."""
     table: dict[str, str] = {}
     for c in reversed(codecs):
         table.update(sequences(c))
     if with_controls:
         table = controls() | table
+    table = dict(learned) | table
     opened = {g[0] for c in codecs for g in sequences(c) if len(g) > 1}
     return table, max([1, *map(len, table)]), "".join(sorted({g[0] for g in table})), "".join(sorted(opened))
 
 
 @lru_cache(maxsize=64)
-def damage_pattern(codecs: tuple[str, ...], with_controls: bool) -> str:
+def damage_pattern(codecs: tuple[str, ...], with_controls: bool, learned: Learned = ()) -> str:
     """Regular expression (Java and Python alike) without which a text holds nothing to repair: for each codec, a character of a
     first byte before one of a second byte; control characters; the replacement character."""
     chars = lambda cs: "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(set(cs))) + "]"
@@ -81,13 +86,15 @@ def damage_pattern(codecs: tuple[str, ...], with_controls: bool) -> str:
     for c in codecs:
         two = [g for g in sequences(c) if len(g) > 1]
         parts.append(chars(g[0] for g in two) + chars(g[1] for g in two))
+    if learned:
+        parts.append(chars(g[0] for g, _ in learned) + chars(g[1] for g, _ in learned))
     # The look-ahead turns ASCII characters away with one test.
     return r"(?=[^\x00-\x7f])(?:" + "|".join([*parts, *([chars(controls())] if with_controls else []), LOST]) + ")"
 
 
 @lru_cache(maxsize=64)
-def _damage(codecs: tuple[str, ...], with_controls: bool) -> re.Pattern[str]:
-    return re.compile(damage_pattern(codecs, with_controls))
+def _damage(codecs: tuple[str, ...], with_controls: bool, learned: Learned = ()) -> re.Pattern[str]:
+    return re.compile(damage_pattern(codecs, with_controls, learned))
 
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -96,8 +103,8 @@ _RUN_OR_QUERY = re.compile(r"[^\x00-\x7f]+|\?+")
 QUERY_LOSS = r"(?:^|[\s(\[«\"'|,;:-])[^\s/=&.@<>?\"]*(?:\p{L}\?+\p{L}|(?<![\p{L}\p{N}/=&.@?])\?+\p{L}\p{L})|\p{L}\.\?\.|\p{L}\?['’]\p{L}"
 
 
-def _pass(text: str, codecs: tuple[str, ...], with_controls: bool) -> tuple[str, int]:
-    table, longest, _, _ = _merged(codecs, with_controls)
+def _pass(text: str, codecs: tuple[str, ...], with_controls: bool, learned: Learned = ()) -> tuple[str, int]:
+    table, longest, _, _ = _merged(codecs, with_controls, learned)
     fixed = 0
 
     def run(m: re.Match[str]) -> str:
@@ -140,16 +147,16 @@ def _codec_order(text: str, codecs: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(sorted(codecs, key=lambda c: (-best[c], codecs.index(c))))
 
 
-def repair(text: str, codecs: tuple[str, ...] = WRONG[:6], with_controls: bool = True, passes: int = 2) -> tuple[str, bool, bool]:
+def repair(text: str, codecs: tuple[str, ...] = WRONG[:6], with_controls: bool = True, passes: int = 2, learned: Learned = ()) -> tuple[str, bool, bool]:
     """(text, damaged, lost) after undoing wrong decodings of UTF-8, at most `passes` times over."""
     if text.isascii():
         return text, False, False
     damaged = False
     for _ in range(passes):
-        if not _damage(codecs, with_controls).search(text):
+        if not _damage(codecs, with_controls, learned).search(text):
             break
         order = _codec_order(text, codecs)
-        text, n = _pass(text, order, with_controls)
+        text, n = _pass(text, order, with_controls, learned)
         damaged |= n > 0
         if not n:
             break
@@ -201,7 +208,8 @@ def substitute(text: str, known: frozenset[str], foreign: frozenset[str] = froze
 
 def explain(garbled: str, clean: str) -> list[str]:
     """The transformations that turn clean into garbled: names of wrong decoders, '2:' before those applied twice, 'c1' for
-    control characters, '1:xy' for the substitution of one letter, 'lost:' and the character that stands for lost ones."""
+    control characters, '1:xy' for the substitution of one letter, 'm:' with a garbled sequence and the letter it stands for where
+    no named decoder fits, 'lost:' and the character that stands for lost ones."""
     out = []
     if set(garbled) <= {"?", LOST} and not clean.isascii():
         return ["lost:" + garbled[0]]
@@ -216,9 +224,22 @@ def explain(garbled: str, clean: str) -> list[str]:
         for g, c in zip(garbled, clean):
             if g != c:
                 out.append("c1" if controls().get(g) == c else f"1:{g}{c}")
+    each = len(garbled) // max(len(clean), 1)
+    if not out and each in (2, 3) and len(garbled) == each * len(clean):
+        out = [f"m:{garbled[i * each : (i + 1) * each]}{c}" for i, c in enumerate(clean)]
     return out
 
 
+def sequences_learned(votes: dict[str, int], least: int = LEAST_VOTES) -> Learned:
+    """Garbled sequences that no named decoder explains, with the letter most twins gave them. Letters of correct text are none."""
+    count: dict[str, tuple[int, str]] = {}
+    for name, n in votes.items():
+        g, c = name[2:-1], name[-1:]
+        if name.startswith("m:") and len(g) > 1 and n >= least and not (g[0] in _CORRECT and g.isalpha()) and c not in g and LOST not in g:
+            count[g] = max(count.get(g, (0, "")), (n, c))
+    return tuple(sorted((g, c) for g, (_, c) in count.items()))
+
+
 def skeleton(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7f]+|\?+", "")
 
@@ -254,7 +275,7 @@ def learn(texts: DataFrame, least: int = LEAST_VOTES) -> dict[str, int]:
                 names: list[str] = []
                 if _RUN_OR_QUERY.sub("\0", a) == _RUN_OR_QUERY.sub("\0", b):
                     for x, y in set(zip(_RUN_OR_QUERY.findall(a), _RUN_OR_QUERY.findall(b))):
-                        if x != y and len(x) <= 24:
+                        if x != y:
                             names += explain(x, y)
                 out.append(sorted(set(names)))
             yield pd.Series(out)
@@ -305,14 +326,15 @@ def restore(df: DataFrame, keys: list[str], text: str, votes: dict[str, int], vo
     whole. vocabulary (column `word`) holds clean words; it decides the substitutions that correct foreign text also has.
     """
     codecs, c1, swaps = chosen(votes)
-    marks = damage_pattern(codecs, c1) + ("|[" + "".join(swaps) + "]" if swaps else "")
+    learned = sequences_learned(votes)
+    marks = damage_pattern(codecs, c1, learned) + ("|[" + "".join(swaps) + "]" if swaps else "")
     queries = query_loss(F.col("t"), html) if votes.get("lost:?") else F.lit(False)
     rows = df.select(*keys, F.col(text).alias("t")).withColumn("q", queries).where(F.col("q") | F.col("t").rlike(marks))
 
     @F.pandas_udf("struct<fixed:string,damaged:boolean,lost:boolean,words:array<string>>")
     def fix(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in it:
-            got = [repair(x, codecs, c1) for x in s]
+            got = [repair(x, codecs, c1, learned=learned) for x in s]
             yield pd.DataFrame({"fixed": [g[0] for g in got], "damaged": [g[1] for g in got], "lost": [g[2] for g in got], "words": [sorted(set(suspects(g[0], swaps))) if swaps else [] for g in got]})
 
     fix = fix.asNondeterministic()  # else the filter below is evaluated with the UDF over all rows

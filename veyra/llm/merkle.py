@@ -2,9 +2,9 @@
 
 A record is a tree. Leaves are normalised (white space, letter case and punctuation go) and digested; a node's digest covers
 its tag and its children's digests, in order where order matters and sorted where it does not; records group by the root
-digest. The group key also carries the canonical structure itself, so a digest collision cannot join two records: that is
-the full structural comparison. All steps are JVM expressions; the only shuffle is the grouping, after map-side partial
-aggregation, so a page that holds a third of all rows arrives as one partial row per task.
+digest. The full structural comparison follows: of each group the smallest and the largest canonical structure are kept, and
+where they differ - two records with one digest - the group is split by structure. All steps are JVM expressions; the only shuffle is
+the grouping, after map-side partial aggregation, so a page that holds a third of all rows arrives as one partial row per task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veyra.functions import urls
+from veyra.session import cut
 
 _US, _RS = "\x1f", "\x1e"  # between children, between parts: neither survives normalisation
 
@@ -71,5 +72,15 @@ def url_pages(df: DataFrame, url: str, row_id: str) -> DataFrame:
     rows of their own; ties of ids are harmless as only the minimum is kept. Other columns are not read.
     """
     rows = df.select(F.col(row_id).alias("id"), url_record(F.col(url)).alias("r")).where(F.col(url).isNotNull())
-    rows = rows.select("id", url_digest(F.col("r")).alias("root"), canonical(F.col("r")).alias("structure"))
-    return rows.groupBy("root", "structure").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).drop("structure")
+    return groups(rows.select("id", url_digest(F.col("r")).alias("root"), canonical(F.col("r")).alias("structure")))
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """(root, keep_id, copies) of rows (id, root, structure): by digest, and by structure where one digest has several."""
+    by_root = rows.groupBy("root").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies"), (F.min("structure") != F.max("structure")).alias("clash"))
+    by_root = cut(by_root, "digests")
+    if by_root.where("clash").isEmpty():
+        return by_root.drop("clash")
+    torn = rows.join(by_root.where("clash").select("root"), "root", "left_semi")
+    split = torn.groupBy("root", "structure").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).drop("structure")
+    return by_root.where("NOT clash").drop("clash").unionByName(split)
