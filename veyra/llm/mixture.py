@@ -3,13 +3,14 @@
 1. Each source's documents, in a pseudorandom order, are packed end to end into blocks of `block` tokens (a source's last
    block may be shorter; nothing is dropped).
 2. The mixture is as large as the targets and the repeat caps allow; a source's quota is its share of that.
-3. Every output shard draws its source counts; the draws are multinomial, conditioned on the quotas, so shares hold exactly
-   over all shards up to one block per source.
+3. Every output shard draws its source counts; the draws are multinomial with what is left of the quotas as weights, so shares
+   hold exactly over all shards up to one block per source. They go in two steps: the driver draws for at most MAX_GROUPS groups of
+   shards, and each group draws for its shards on its own.
 4. Slot j of a source maps to block perm(j mod n) of epoch j div n, perm a keyed permutation of the source's block indices per
    epoch: no block comes a second time before every block came once, and none more often than the cap.
 5. Slots join blocks by (source, index).
 
-What reaches the driver is the plan: at most MAX_SHARDS x sources rows. The running offsets (sources x buckets, both bounded) are
+What the driver holds is the plan of the groups: at most MAX_GROUPS x sources rows. The running offsets (sources x buckets, both bounded) are
 broadcast between executors.
 """
 
@@ -28,7 +29,7 @@ from veyra.session import cut
 
 BLOCK = 256
 SHARD_BLOCKS = 4096
-MAX_SHARDS = 4096  # shards grow beyond SHARD_BLOCKS instead: the plan has at most MAX_SHARDS x sources rows
+MAX_GROUPS = 1024  # groups of shards that the driver plans; a larger mixture has more shards to a group
 BUCKETS, MAX_BUCKETS = 64, 1 << 16
 BUCKET_TOKENS = 20_000_000  # tokens of all sources per bucket; buckets grow in number, not in size
 MAX_SOURCES = 1000
@@ -53,7 +54,8 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def packed_blocks(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """(source, index, n_tokens, ids): the token blocks of each source. docs: doc_id, source, ids.
+    """(source, index, n_tokens, ids, docs): the token blocks of each source. docs: doc_id, source, ids. The column docs names the
+    documents of a block in order, with the tokens each has in it.
 
     A hot source is spread over buckets by a hash of the document id, as many as the tokens call for; a bucket starts where the
     tokens of the buckets before it end, so no task sees a whole source. A document that crosses a block's end gives its pieces to both blocks.
@@ -69,13 +71,14 @@ def packed_blocks(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFra
     starts = sums.select("source", "bucket", (F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).alias("base"))
     run = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
     at = d.withColumn("before", F.sum("n").over(run) - F.col("n")).join(F.broadcast(starts), ["source", "bucket"])
-    at = at.select("source", "ids", "n", (F.col("base") + F.col("before")).alias("start"))
-    piece = at.select("source", "ids", "n", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + n - 1) div {block}"))).alias("index"))
+    at = at.select("source", "doc_id", "ids", "n", (F.col("base") + F.col("before")).alias("start"))
+    piece = at.select("source", "doc_id", "ids", "n", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + n - 1) div {block}"))).alias("index"))
     lo = F.greatest(F.col("index") * block - F.col("start"), F.lit(0))
     hi = F.least((F.col("index") + 1) * block - F.col("start"), F.col("n"))
-    piece = piece.select("source", "index", (F.col("start") + lo).alias("o"), F.slice("ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
-    whole = piece.groupBy("source", "index").agg(F.array_sort(F.collect_list(F.struct("o", "ids"))).alias("p"))  # at most `block` pieces
-    return whole.select("source", "index", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")).withColumn("n_tokens", F.size("ids"))
+    piece = piece.select("source", "doc_id", "index", (F.col("start") + lo).alias("o"), F.slice("ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
+    whole = piece.groupBy("source", "index").agg(F.array_sort(F.collect_list(F.struct("o", "doc_id", "ids"))).alias("p"))  # at most `block` pieces
+    docs_of = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), F.size(x["ids"]).alias("n")))
+    return whole.select("source", "index", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), docs_of.alias("docs")).withColumn("n_tokens", F.size("ids"))
 
 
 def quotas(blocks_of: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, int]:
@@ -94,16 +97,15 @@ def quotas(blocks_of: dict[str, int], targets: list[tuple[str, float, int]]) ->
 
 
 def shard_counts(q: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot of the source, count): multinomial draws per shard, conditioned on the quotas."""
-    shard_blocks = max(shard_blocks, -(-sum(q.values()) // MAX_SHARDS))
+    """(shard, source, first slot of the source, count): multinomial draws per shard, weighted by what is left of each quota."""
     rng, left, used, out, shard = np.random.default_rng(seed), dict(q), dict.fromkeys(q, 0), [], 0
     names = sorted(q)
     while sum(left.values()):
         total = sum(left.values())
         size, counts = min(shard_blocks, total), {}
-        for s in names:  # hypergeometric chain = multinomial given what is left
+        for s in names:  # a multinomial draw as a chain of binomial ones, never more than is left
             rest = total - left[s]
-            counts[s] = int(rng.hypergeometric(left[s], rest, size)) if total < 10**9 else int(rng.binomial(size, left[s] / total))
+            counts[s] = int(rng.binomial(size, left[s] / total)) if left[s] else 0
             counts[s] = max(min(counts[s], left[s], size), size - rest)
             size, total = size - counts[s], rest
         for s in names:
@@ -116,7 +118,7 @@ def shard_counts(q: dict[str, int], shard_blocks: int = SHARD_BLOCKS, seed: int
 
 
 def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
-    """(shard, slot, source, index, repeat, n_tokens, ids): the mixture, one row per block, slots shuffled within a shard.
+    """(shard, slot, source, index, repeat, n_tokens, ids, docs): the mixture, one row per block, slots shuffled within a shard.
 
     docs: doc_id, source, ids (see tokens.encode_column); targets: source, target_share, max_repeats (at most MAX_SOURCES rows).
     Documents of sources without a target, with null source or without tokens take no part. A target whose source has no
@@ -130,15 +132,25 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, shard_blocks: i
     chosen = cut(docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), "tokens")  # encoded once, read thrice
     blocks = cut(packed_blocks(chosen, block, seed), "blocks")
     n_of = {r["source"]: r["n"] for r in blocks.groupBy("source").agg((F.max("index") + 1).alias("n")).collect()}
-    plan = [(h, s, first, c, n_of[s]) for h, s, first, c in shard_counts(quotas(n_of, wanted), shard_blocks, seed)]
-    slots = _slots(spark, plan, seed)
+    q = quotas(n_of, wanted)
+    per_group = max(1, -(-sum(q.values()) // (shard_blocks * MAX_GROUPS)))  # shards of a group
+    plan = [(g, s, first, c, n_of[s]) for g, s, first, c in shard_counts(q, shard_blocks * per_group, seed)]
+    slots = _slots(spark, plan, seed, shard_blocks, per_group)
     joined = slots.join(blocks, ["source", "index"])
-    return joined.select("shard", F.xxhash64(F.lit(seed), "source", "index", "repeat").alias("slot"), "source", "index", "repeat", "n_tokens", "ids")
+    return joined.select("shard", F.xxhash64(F.lit(seed), "source", "index", "repeat").alias("slot"), "source", "index", "repeat", "n_tokens", "ids", "docs")
 
 
-def _slots(spark: SparkSession, plan: list[tuple[int, str, int, int, int]], seed: int) -> DataFrame:
+def _slots(spark: SparkSession, plan: list[tuple[int, str, int, int, int]], seed: int, shard_blocks: int, per_group: int) -> DataFrame:
     """One row per slot: its shard, source, block index and how often the block came before."""
-    frame = spark.createDataFrame(plan or [], "shard int, source string, first long, count long, n long")
+
+    def shards(rows: pd.DataFrame) -> pd.DataFrame:
+        group, first, n = int(rows["g"].iloc[0]), dict(zip(rows["source"], rows["first"])), dict(zip(rows["source"], rows["n"]))
+        drawn = shard_counts({s: int(c) for s, c in zip(rows["source"], rows["count"])}, shard_blocks, seed + 1 + group)
+        return pd.DataFrame([(group * per_group + h, s, int(first[s]) + f, c, int(n[s])) for h, s, f, c in drawn], columns=["shard", "source", "first", "count", "n"])
+
+    frame = spark.createDataFrame(plan or [], "g long, source string, first long, count long, n long")
+    frame = frame.groupBy("g").applyInPandas(shards, "shard long, source string, first long, count long, n long")
+    # At most shard_blocks slots to a row.
     rows = frame.select("shard", "source", "n", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("j")).withColumn("repeat", F.expr("cast(j div n as int)"))
 
     @F.pandas_udf("long")
@@ -159,6 +171,14 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("source", "target_share", "max_repeats", zero("n_blocks"), zero("n_tokens"), (F.coalesce(F.col("n_tokens"), F.lit(0)) / F.col("total")).alias("actual_share"), zero("most_repeats"))
 
 
+def document_uses(mixed: DataFrame) -> DataFrame:
+    """(doc_id, source, used_tokens, most_uses): the documents of a mixture, how many tokens of each it holds, repeats counted, and how
+    often the part of it that came most often came."""
+    blocks = mixed.groupBy("source", "index").agg(F.count("*").alias("uses"), F.first("docs").alias("docs"))
+    each = blocks.select("source", "uses", F.inline("docs"))
+    return each.groupBy("doc_id", "source").agg(F.sum(F.col("uses") * F.col("n")).alias("used_tokens"), F.max("uses").alias("most_uses"))
+
+
 def mixed_documents(docs: DataFrame, targets: DataFrame, text: str = "text", path: str | None = None, **settings) -> DataFrame:
     """mix() from raw documents (doc_id, source, text)."""
     chosen = docs.where(F.col("source").isNotNull() & (F.length(text) > 0))

@@ -96,6 +96,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the mixture uses each document."""
+    return mixture.document_uses(p9_mix(spark, folder))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_types(spark, folder).where("kind != 'prose'").select("doc_id", "kind")
 
@@ -113,7 +118,7 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pages, p2_found, p3_found, p3_redacted, p3_reliabilities, p4_found, p4_transformations, p6_found, p7_found, p7_validation, p8_ids, p9_mix, p9_shares, p10_found, p10_types, p10_statistics)
+    for f in (p1_found, p1_pages, p2_found, p3_found, p3_redacted, p3_reliabilities, p4_found, p4_transformations, p6_found, p7_found, p7_validation, p8_ids, p9_mix, p9_shares, p9_documents, p10_found, p10_types, p10_statistics)
 }
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 ORACLES: dict[str, str] = {
