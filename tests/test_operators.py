@@ -105,11 +105,87 @@ def test_page_analysis(spark):
     got = {r["fetch_id"]: r for r in pages.analysis(x).collect()}
     assert got[1]["mentions"] == 5 and got[2]["mentions"] == 0
     assert got[1]["places"] == ["Title", "Meta description", "Headings", "Body", "Image alt/captions", "Comments section", "URL slug"]
-    assert set(got[1]["data_types"]) == {"Full name", "Phone", "TC Kimlik No", "Employer", "Username"} and got[1]["s"]["owner"] == "Acme Medya Ltd. Şti."
+    assert set(got[1]["data_types"]) == {"Full name", "Phone", "TC Kimlik No", "Employer", "Username"} and got[1]["s"]["owner"] == "Acme Medya Ltd. Şti"
+    assert got[1]["matched"].keys() >= {"employer", "username"} and got[2]["matched"] == {}
     links = pages.ranked_links(f.withColumn("s", pages.sections_of("html")).where("html is not null")).orderBy("place").collect()
     assert [(r["href"], r["score"]) for r in links] == [("https://e.com/kaldirma", 9), ("https://e.com/privacy", 5)]
 
 
+@pytest.mark.parametrize("text,owner", [("© 2019-2024 Mavi Pusula A.Ş. Tüm hakları saklıdır", "Mavi Pusula A.Ş"), ("Copyright 2020 all rights reserved. Acme GmbH", "Acme GmbH"), ("(c) Ada Ak", ""), ("© 2020 Deniz Ltd. Şti. | Künye", "Deniz Ltd. Şti"), ("Ltd. © ", "")])
+def test_owner(text, owner):
+    assert pages.owner_hint(text) == owner
+
+
+def test_captions_count_once_and_hints_read_the_link_as_written(spark):
+    html = "<body><p>x</p><figure><img alt=y><figcaption>Ada Yılmaz</figcaption></figure><iframe>Ada Yılmaz</iframe><div id=box class=comments>Ada Yılmaz</div><a href='/a'>more</a><a href='/gizlilik'>x</a></body>"
+    f = spark.createDataFrame([(1, "C1", "https://contact-x.example/", html)], "fetch_id long, case_id string, url string, html string").withColumn("s", pages.sections_of("html"))
+    r = pages.analysis(f.join(subject(spark), "case_id")).first()
+    assert r["mentions"] == 2 and "Comments section" in r["places"] and "Image alt/captions" in r["places"]
+    assert [x["href"] for x in pages.ranked_links(f).collect()] == ["https://contact-x.example/gizlilik"]
+
+
+def test_short_known_addresses_match_as_a_whole(spark):
+    s = subject(spark).withColumn("addresses", F.array(F.lit("Gül 4"), F.lit("Moda, Uzun Yol 12, X")))
+    f = spark.createDataFrame([(1, "C1", "https://e.com/", "<p>Gül 4 ve Uzun Yol 12 burada"), (2, "C1", "https://e.com/", "<p>Moda")], "fetch_id long, case_id string, url string, html string").withColumn("s", pages.sections_of("html"))
+    got = {r["fetch_id"]: r["matched"].get("address") for r in pages.analysis(f.join(s, "case_id")).collect()}
+    assert got == {1: ["Gül 4", "Moda, Uzun Yol 12, X"], 2: None}
+
+
+def test_site_category(spark):
+    from veyra.operators import classify
+
+    rows = spark.createDataFrame([(1, "a.spokeo.test", "/"), (2, "x.social.test", "/haber/1"), (3, "city.gov.tr", "/"), (4, "e.test", "/Haber/2"), (5, "e.test", "/q"), (6, None, None), (7, "social.test", "/")], "id long, host string, path string")
+    brokers = spark.createDataFrame([("spokeo.test", 1)], "domain string, ord int")
+    domains = spark.createDataFrame([("social.test", 2, "Social media"), ("x.social.test", 1, "Blog")], "domain string, ord int, value string")
+    got = {r["id"]: r["category"] for r in classify.site_category(rows, brokers, domains, [("Government", [".gov.tr"])], [("News", ["haber"]), ("Odd", ["a+b", "["])]).collect()}
+    assert got == {1: "Data broker", 2: "Blog", 3: "Government", 4: "News", 5: "Other", 6: "Other", 7: "Social media"}
+
+
+def test_content_types(spark):
+    from veyra.operators import classify
+
+    rows = [("/a", "text/html", "Other", ["Comments section"], "Comment"), ("/a", "text/html", "Other", ["Title", "Comments section"], "Text"), ("/a.pdf", None, "Other", None, "PDF / document"), ("/a", "", "Social media", ["Comments section"], "Profile page")]
+    df = spark.createDataFrame(rows, "p string, m string, c string, places array<string>, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", classify.content_type(F.col("p"), F.col("m"), F.col("c"), F.col("places"))).collect())
+
+
+def test_fetch_decisions(spark):
+    from veyra.operators import fetching
+
+    df = spark.createDataFrame([(None,), (200,), (301,), (401,), (403,), (404,), (500,)], "status int")
+    assert [r[0] for r in df.select(fetching.robots(F.col("status"))).collect()] == ["deny", "parse", "parse", "deny", "deny", "allow", "deny"]
+    pages_ = spark.createDataFrame([(200, "text/html; charset=utf-8", 10), (200, "text/html", 400), (200, None, 0), (404, "text/html", 0), (200, "Application/XHTML+xml", None)], "s int, t string, n int")
+    assert [r[0] for r in pages_.select(fetching.needs_rendering(F.col("s"), F.col("t"), F.col("n"))).collect()] == [True, False, False, False, True]
+    reqs = spark.createDataFrame([("a", i, 402 if i == 3 else 200) for i in range(1, 6)] + [("b", i, None) for i in range(1, 6)], "case_id string, ord int, status int")
+    sent = {(r["case_id"], r["ord"]) for r in fetching.within_credits(reqs, 20).where("sent").collect()}
+    assert sent == {("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3), ("b", 4)} and fetching.within_credits(reqs.limit(0), 20).count() == 0
+
+
+def test_validated(spark):
+    from veyra.sources import dictionaries
+
+    rows = [("C1", "Ada Ak", ["0532 1234567", "12", None], ["a@b.test", "a@b"]), ("", "Ada", None, None), ("C3", "xx", [], None), ("C4", None, None, None)]
+    got = {r["case_id"]: r for r in dictionaries.validated(spark.createDataFrame(rows, "case_id string, full_name string, phones array<string>, emails array<string>")).collect()}
+    assert got["C1"]["rejected"] is None and got["C1"]["dropped"] == 2 and got["C1"]["phones"] == ["0532 1234567"] and got["C1"]["emails"] == ["a@b.test"]
+    assert got[""]["rejected"] and got["C3"]["rejected"] and got["C4"]["rejected"] and got[""]["phones"] is None
+
+
+def test_dictionaries(spark):
+    from veyra.sources import dictionaries
+
+    data = {"categories": {"B": ["X.test", None], "A": ["y.test"]}, "keyword_rules": {"N": ["Haber"]}, "site_queries": {"social": ["s.test"], "professional": None}}
+    assert [tuple(r) for r in dictionaries.category_domains(spark, data).collect()] == [("x.test", 0, "B"), ("y.test", 1, "A")]
+    assert dictionaries.category_rules(data, "keyword_rules") == [("N", ["haber"])] and dictionaries.category_rules(data, "none") == []
+    b = spark.createDataFrame([(1, "b.test")], "ord int, domain string")
+    assert {(r["kind"], r["domain"]) for r in dictionaries.site_domains(spark, data, b).collect()} == {("site_broker", "b.test"), ("site_social", "s.test")}
+
+
+def test_enriched_rows_stay(spark):
+    rows = spark.createDataFrame([("u1", "a"), ("u2", "b"), (None, None)], "url string, domain string")
+    got = enrich.with_facts(rows, spark.createDataFrame([("a", "TR")], "domain string, country string"), spark.createDataFrame([("u2", 3)], "url string, copies int")).collect()
+    assert {(r["url"], r["country"], r["copies"]) for r in got} == {("u1", "TR", None), ("u2", None, 3), (None, None, None)}
+
+
 def test_blocks():
     html = "<body>a<b>b</b> c<br>d<p>e<p>f&nbsp;g<table><tr><td>h<td>i</table><ul><li>j<li>k</ul><noscript>no</noscript><svg>no</svg>&lt;l&gt;"
     assert [b.text for b in blocks(html)] == ["ab c", "d", "e", "f g", "h", "i", "j", "k", "<l>"]

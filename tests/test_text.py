@@ -70,3 +70,11 @@ def test_contexts_and_slug(spark):
     sp = text.find_spans(F.col("s"), F.array(F.lit("ada")))
     assert one(spark, text.contexts(F.col("s"), sp, 1, 4), "s string", "bir  ada  var") == ["ir ada va"]
     assert one(spark, text.slug_text(F.col("s")), "s string", "/u/ada_ok?x=%C3%BC&y=%zz") == " u ada ok x %C3%BC y %zz"
+
+
+def test_folding_takes_no_python(spark):
+    rows = ["ﬁne ½ … é İIıi ＡＢ 𝐀x ㎏ ǆ", "plain", "Şükrü ÇAĞ", None, "", "ö" * 30_000 + "\u0301"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string").select("t", text.fold(F.col("t")).alias("f"))
+    low = lambda x: text._strip(x.translate(str.maketrans("Iİ", "ıi")).lower().translate(str.maketrans(text.TURKISH, text.ASCII)))
+    assert {r["t"]: r["f"] for r in df.collect()} == {x: None if x is None else low(x) for x in rows}
+    assert "Python" not in df._jdf.queryExecution().toString()

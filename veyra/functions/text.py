@@ -1,7 +1,7 @@
 """Text expressions: Turkish-aware folding, phrase patterns, match offsets, span merging.
 
-All are JVM columns. Folding is exact for characters that fold to one character (a translate table made from the Unicode
-database); text with any other foldable character goes through an Arrow UDF, row by row chosen by a guard.
+All are JVM columns. Folding takes characters that fold to one character through a translate table made from the Unicode
+database; a text with any other foldable character is mapped character by character with a literal map, in the JVM as well.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,14 +46,30 @@ def _single() -> tuple[str, str]:
 _BEYOND = r"[^\x{00}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17f}\x{192}\x{1fa}-\x{1ff}\x{218}-\x{21b}\x{391}-\x{3c9}\x{400}-\x{45f}\x{2010}-\x{2016}\x{2018}-\x{2023}\x{20ac}\x{2500}-\x{25ff}]"
 
 
-def _strip_all(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else _strip(x))
+@lru_cache(maxsize=1)
+def _several() -> dict[str, str]:
+    """Characters that fold to none or to several characters, or that lie beyond U+FFFF; Hangul syllables stay composed."""
+    single, out = set(_single()[0]), {}
+    for i in range(0x80, sys.maxunicode + 1):
+        ch = chr(i)
+        if ch in single or 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4:
+            continue
+        f = _strip(ch)
+        if f != ch:
+            out[ch] = f
+    return out
+
+
+def _mapped(s: Column) -> Column:
+    """Every character by its entry in the map of _several(), given as one literal that is parsed once per plan."""
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _several().items())), F.lit("\x01"), F.lit("\x02"))
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
 
 
 def strip_marks(s: Column) -> Column:
-    """Compatibility decomposition without combining marks (NFKD)."""
+    """Compatibility decomposition without combining marks (NFKD); Hangul syllables stay composed."""
     src, dst = _single()
-    return F.when(s.rlike(_BEYOND), F.pandas_udf(_strip_all, "string")(s)).otherwise(F.translate(s, src, dst))
+    return F.translate(F.when(s.rlike(_BEYOND), _mapped(s)).otherwise(s), src, dst)
 
 
 def fold(s: Column) -> Column:

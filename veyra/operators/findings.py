@@ -108,20 +108,20 @@ def photos(fetches: DataFrame, subjects: DataFrame) -> DataFrame:
 
 def imprint_links(pages_: DataFrame, key: str = "fetch_id", url: str = "url", first: int = 3) -> DataFrame:
     """key, hrefs: the first links (a top-3 report) of the same host that lead to an imprint. pages_: key, url, sections s."""
-    x = pages_.select(key, url, pages.absolute_links(F.col(url), "s.links").alias("hrefs"), "s.links").select(key, url, F.posexplode(F.arrays_zip("hrefs", F.col("links.text").alias("text"))).alias("pos", "l"))
-    hay = text.fold_latin(F.concat_ws(" ", "l.text", "l.hrefs"))
+    x = pages_.select(key, url, pages.absolute_links(F.col(url), "s.links").alias("hrefs"), "s.links").select(key, url, F.posexplode(F.arrays_zip("hrefs", F.col("links.text").alias("text"), F.col("links.href").alias("raw"))).alias("pos", "l"))
+    hay = text.fold_latin(F.concat_ws(" ", "l.text", "l.raw"))
     good = x.where(hay.rlike(pages.IMPRINT_HINT) & (hostname(F.col("l.hrefs")) == hostname(F.col(url)))).groupBy(key, F.col("l.hrefs").alias("href")).agg(F.min("pos").alias("pos"))
     place = good.withColumn("n", F.expr(f"row_number() over (partition by {key} order by pos)")).where(F.col("n") <= first)
     return place.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "href"))), lambda s: s["href"]).alias("hrefs"))
 
 
 def snippet_analysis(rows: DataFrame, subjects: DataFrame, keep: tuple[str, ...] = ("result_id",)) -> DataFrame:
-    """keep, mentions (0), places, data_types, contexts of search results: title, snippet and url stand in for the page."""
+    """keep, mentions (0), places, data_types, matched, contexts of search results: title, snippet and url stand in for the page."""
     none = F.lit(None).cast("string")
-    s = F.struct(F.concat_ws(" ", "title", "snippet").alias("title"), none.alias("meta"), none.alias("headings"), none.alias("body"), none.alias("plain_body"), none.alias("alts"), none.alias("comments"))
+    s = F.struct(F.concat_ws(" ", "title", "snippet").alias("title"), none.alias("meta"), none.alias("headings"), none.alias("body"), none.alias("plain_body"), none.alias("alts"), none.alias("captions"), none.alias("comments"))
     x = pages.analysis(rows.withColumn("s", s).join(subjects, "case_id"))
     places = F.transform(F.filter("places", lambda p: p.isin("Title", "URL slug")), lambda p: F.when(p == "Title", "Search snippet").otherwise(p))
-    return x.select(*keep, F.lit(0).alias("mentions"), places.alias("places"), "data_types", "contexts")
+    return x.select(*keep, F.lit(0).alias("mentions"), places.alias("places"), "data_types", "matched", "contexts")
 
 
 def source_of(ok: Column, hit: Column) -> Column:

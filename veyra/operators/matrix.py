@@ -74,6 +74,11 @@ def dedupe(queries: DataFrame, by: str = "case_id") -> DataFrame:
     return one.select(by, "q.text", "q.kind", "q.priority", rank.alias("place"))
 
 
+def limited(queries: DataFrame, most: int) -> DataFrame:
+    """The first `most` queries of each case in priority order; all of them for 0."""
+    return queries.where(F.col("place") <= most) if most else queries
+
+
 def cost(queries: DataFrame, page_size: int, max_results: int, cached: DataFrame | None = None) -> DataFrame:
     """kind, pages, from_cache: calls that a run needs, a page at a time; cached: text, page."""
     pages = queries.select("kind", "text", F.explode(F.sequence(F.lit(0), F.lit(-(-max_results // page_size) - 1))).alias("page"))

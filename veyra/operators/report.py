@@ -40,3 +40,18 @@ def localised(s: Column) -> Column:
 
 def written_date(d: Column, lang: str) -> Column:
     return F.date_format(d, "dd.MM.yyyy" if lang == "tr" else "yyyy-MM-dd")
+
+
+def run_counts(calls: DataFrame, hits: DataFrame, known: DataFrame, planned: DataFrame) -> DataFrame:
+    """item, n: the summary of a run. calls: case_id, query_text, status (called, cached, skipped); hits: merged pages; known: hits that
+    the tracker already has; planned: cells of a rescan (case_id, row_no, field)."""
+    one = lambda item, n: n.select(F.lit(item).alias("item"), F.col("n"))
+    rows = lambda df: df.agg(F.count("*").alias("n"))
+    status = calls.groupBy("status").agg(F.count("*").alias("n")).select(F.concat(F.lit("searches "), "status").alias("item"), "n")
+    found, old = rows(hits), rows(known)
+    new = found.crossJoin(old.withColumnRenamed("n", "o")).select((F.col("n") - F.col("o")).alias("n"))  # one row each
+    parts = [one("queries", calls.agg(F.countDistinct("case_id", "query_text").alias("n"))), one("unique pages", found), one("already tracked", old), one("new rows", new), one("rows checked again", planned.agg(F.countDistinct("case_id", "row_no").alias("n")))]
+    out = status
+    for p in parts:
+        out = out.unionByName(p)
+    return out

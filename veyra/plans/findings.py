@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veyra.functions import domains, urls
 from veyra.operators import findings, pages, results
-from veyra.plans.reference import _RESULTS
+from veyra.plans.reference import _RESULTS, keyed_sql
 from veyra.sources import dictionaries
 from veyra.sources.tables import table
 
@@ -40,7 +40,10 @@ def finding_sources(spark, d):
 QUERIES = {f.__name__: f for f in (registered_domains, photo_flags, imprints, snippet_analyses, finding_sources)}
 
 _SUFFIX = ", ".join(f"'{s}'" for s in (*domains.SUFFIXES, "com.example"))
+_FETCHED = keyed_sql("fetches", "url")
 ORACLES = {
+    "finding_sources": f"""SELECT f.fetch_id, CASE WHEN f.status = 200 AND trim(coalesce(f.html, ''), ' ') <> '' THEN 'page' WHEN h.key IS NOT NULL THEN 'snippet' END AS source FROM {_FETCHED} f
+ LEFT JOIN (SELECT DISTINCT case_id, key FROM {_RESULTS}) h ON f.case_id = h.case_id AND f.key = h.key""",
     "registered_domains": f"""SELECT domain, count(*) AS n_results FROM (SELECT CASE WHEN regexp_matches(h, '^[0-9.]+$|:') THEN h ELSE coalesce(array_to_string(list_slice(l, greatest(k, 1), len(l)), '.'), h) END AS domain FROM (
  SELECT h, l, coalesce(list_min(list_filter(range(1, len(l) + 1), lambda i: array_to_string(list_slice(l, i, len(l)), '.') IN ({_SUFFIX}))), len(l)) - 1 AS k FROM (SELECT regexp_replace(host, '^www\\.', '') AS h, string_split(regexp_replace(host, '^www\\.', ''), '.') AS l FROM {_RESULTS}))) GROUP BY domain""",
 }

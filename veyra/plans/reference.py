@@ -128,20 +128,25 @@ def broker_hosts(spark, d):
     return classify.suffix_match(h, rules).select("host", F.col("value").alias("broker"))
 
 
-@query(
-    f"""SELECT DISTINCT fetch_id, coalesce(CASE WHEN regexp_matches(f, 'haber|news|gazete|newspaper|magazin|dergi') THEN 'News / media' END, CASE WHEN regexp_matches(f, 'forum|sozluk|community|topluluk|/thread|/konu/|/topic/') THEN 'Forum / community' END,
- CASE WHEN regexp_matches(f, 'blog|/post/|/yazi/') THEN 'Blog' END, CASE WHEN regexp_matches(f, 'rehber|directory|firma|company-profile|sirket|/companies/') THEN 'Business directory' END, 'Other') AS category
- FROM (SELECT fetch_id, {fold_sql("host || ' ' || path")} AS f FROM {keyed_sql('fetches', 'url')})"""
-)
+def rules_sql(rules: list[tuple[str, list[str]]], test: str) -> str:
+    """CASE over a dictionary; test is the condition with {} for an entry."""
+    return "CASE " + " ".join(f"WHEN {' OR '.join(test.format(chr(39) + w + chr(39)) for w in words)} THEN '{category}'" for category, words in rules) + " END"
+
+
+_KEYWORD = rules_sql(dictionaries.KEYWORDS, "contains(f, {})")
+
+
+def host_and_path(url: str):
+    bare = F.trim(url)
+    p = urls.parts(F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), bare).otherwise(F.concat(F.lit("https://"), F.regexp_replace(bare, "^//", ""))))
+    return p["host"], p["path"]
+
+
+@query(f"SELECT DISTINCT fetch_id, coalesce({_KEYWORD}, 'Other') AS category FROM (SELECT fetch_id, {fold_sql("host || ' ' || path")} AS f FROM {keyed_sql('fetches', 'url')})")
 def keyword_categories(spark, d):
-    rules = [
-        ("News / media", ["haber", "news", "gazete", "newspaper", "magazin", "dergi"]), ("Forum / community", ["forum", "sozluk", "community", "topluluk", "/thread", "/konu/", "/topic/"]),
-        ("Blog", ["blog", "/post/", "/yazi/"]), ("Business directory", ["rehber", "directory", "firma", "company-profile", "sirket", "/companies/"]),
-    ]
+    host, path = host_and_path("url")
     f = table(spark, d, "fetches").where("url is not null")
-    bare = F.trim("url")
-    p = urls.parts(F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), bare).otherwise(F.concat(F.lit("https://"), F.regexp_replace(bare, "^//", ""))))
-    return f.select("fetch_id", F.coalesce(classify.keyword_category(text.fold(F.concat_ws(" ", p["host"], p["path"])), rules), F.lit(classify.OTHER)).alias("category"))
+    return f.select("fetch_id", F.coalesce(classify.keyword_category(text.fold(F.concat_ws(" ", host, path)), dictionaries.KEYWORDS), F.lit(classify.OTHER)).alias("category"))
 
 
 @query(
@@ -231,6 +236,11 @@ _NAMES = f"""(SELECT case_id, generate_subscripts(f, 1) - 1 AS n, unnest(f) AS f
 _Q = "'\"' || trim(replace({0}, '\"', ''), ' ') || '\"'"
 
 
+# Domains of the site: queries beside the brokers, as the settings of a run name them.
+SITE_QUERIES = {"social": ["kisibulucu.example", "lark-copper1.com.example", "kumsal-harman2.test"], "professional": ["defter-defter4.test", "fener-copper5.example", "copper-quarry3.test", "harbor-lark6.test", "pusula-lodos11.example", "meadow-kumsal9.example", "quarry-ledger8.test", "harman-orman12.com.example", "kumsal-pusula10.com.example"]}
+_SITES = "(SELECT 'site_broker' AS kind, ord, domain FROM brokers" + "".join(f" UNION ALL SELECT 'site_{k}', {i}, '{x}'" for k, xs in SITE_QUERIES.items() for i, x in enumerate(xs)) + ")"
+
+
 def _cross(kind: str, field: str, block: int) -> str:
     return f"SELECT nm.case_id, {_Q.format('nm.form')} || ' ' || {_Q.format('x.value')}, '{kind}', [2, n, {block}, v] FROM nm JOIN (SELECT case_id, generate_subscripts({field}, 1) - 1 AS v, unnest({field}) AS value FROM subjects) x USING (case_id) WHERE value IS NOT NULL"
 
@@ -242,21 +252,26 @@ def _cross(kind: str, field: str, block: int) -> str:
  UNION ALL SELECT case_id, {_Q.format('value')}, 'email', [3, v] FROM (SELECT case_id, generate_subscripts(emails, 1) - 1 AS v, unnest(emails) AS value FROM subjects) WHERE value IS NOT NULL
  UNION ALL SELECT case_id, {_Q.format("regexp_replace(trim(value, ' '), '^@+', '')")}, 'username', [4, v] FROM (SELECT case_id, generate_subscripts(usernames, 1) - 1 AS v, unnest(usernames) AS value FROM subjects) WHERE value IS NOT NULL
  UNION ALL SELECT case_id, {_Q.format('form')}, 'phone', [5, v, k] FROM (SELECT case_id, v, generate_subscripts(f, 1) - 1 AS k, unnest(f) AS form FROM (SELECT case_id, v, list_filter(r, lambda x, i: list_position(r, x) = i) AS f FROM (SELECT case_id, v, {_FORMS.replace('list_distinct', '')} AS r FROM (SELECT *, substr(nat, 1, 3) AS a, substr(nat, 4, 3) AS b, substr(nat, 7, 2) AS c, substr(nat, 9, 2) AS e FROM {_PHONES}))))
- UNION ALL SELECT case_id, {_Q.format('form')} || ' ' || filter, 'site_broker', [6, 1, g, n] FROM nm, (SELECT g, CASE WHEN count(*) > 1 THEN '(' || string_agg('site:' || domain, ' OR ' ORDER BY ord) || ')' ELSE 'site:' || min(domain) END AS filter FROM (SELECT domain, ord, (row_number() OVER (ORDER BY ord) - 1) // 8 AS g FROM (SELECT domain, min(ord) AS ord FROM brokers WHERE domain <> '' GROUP BY domain)) GROUP BY g)),
+ UNION ALL SELECT case_id, {_Q.format('form')} || ' ' || filter, kind, [6, list_position({list(matrix.KINDS[8:])}, kind), g, n] FROM nm, (SELECT kind, g, CASE WHEN count(*) > 1 THEN '(' || string_agg('site:' || domain, ' OR ' ORDER BY ord) || ')' ELSE 'site:' || min(domain) END AS filter FROM (SELECT domain, ord, kind, (row_number() OVER (PARTITION BY kind ORDER BY ord) - 1) // 8 AS g FROM (SELECT kind, domain, min(ord) AS ord FROM {_SITES} WHERE domain <> '' GROUP BY kind, domain)) GROUP BY kind, g)),
 k AS (SELECT case_id, trim(regexp_replace({_TRLOW.format('text')}, '[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+', ' ', 'g'), ' ') AS key, text, kind, ord, list_position({list(matrix.KINDS)!r}, kind) - 1 AS priority FROM raw),
 o AS (SELECT case_id, key, min(ord) AS ord, arg_min({{'t': text, 'k': kind, 'p': priority}}, {{'p': priority, 'o': ord}}) AS q FROM k GROUP BY case_id, key)
 SELECT case_id, q.t AS text, q.k AS kind, CAST(q.p AS INT) AS priority, CAST(row_number() OVER (PARTITION BY case_id ORDER BY q.p, ord) AS INT) AS place FROM o"""
 )
 def query_matrix(spark, d):
-    sites = table(spark, d, "brokers").select(F.lit("site_broker").alias("kind"), "ord", "domain")
+    sites = dictionaries.site_domains(spark, {"site_queries": SITE_QUERIES}, table(spark, d, "brokers"))
     return matrix.dedupe(matrix.raw_queries(table(spark, d, "subjects"), sites))
 
 
-@query()
+@query("SELECT kind, 2 * count(*) AS pages, CAST(0 AS BIGINT) AS from_cache FROM (" + ORACLES["query_matrix"] + ") GROUP BY kind")
 def query_costs(spark, d):
     return matrix.cost(query_matrix(spark, d), page_size=10, max_results=20)
 
 
+@query("SELECT * FROM (" + ORACLES["query_matrix"] + ") WHERE place <= 25")
+def limited_matrix(spark, d):
+    return matrix.limited(query_matrix(spark, d), 25)
+
+
 # ---- results -----------------------------------------------------------------------------------------------------------
 
 
@@ -468,7 +483,7 @@ def page_analysis(spark, d):
     s = dictionaries.authorized(table(spark, d, "subjects"))
     f = spread(table(spark, d, "fetches").where("trim(coalesce(html, '')) != ''").select("fetch_id", "case_id", "url", "status", "html")).withColumn("s", pages.sections_of("html")).drop("html")
     photo = findings.photos(table(spark, d, "fetches"), s)
-    return pages.analysis(f.join(s, "case_id").join(photo, "fetch_id", "left")).select("fetch_id", "mentions", "places", "data_types", "contexts", "visible_text_len")
+    return pages.analysis(f.join(s, "case_id").join(photo, "fetch_id", "left")).select("fetch_id", "mentions", "places", "data_types", "matched", "contexts", "visible_text_len")
 
 
 @query()

@@ -23,10 +23,13 @@ def build(app: str = "veyra", master: str | None = None, shuffle_partitions: int
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir if the cluster names one, else a local folder (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session with a local master gets a folder of its own
+    (tests); a cluster is refused, as a machine-local folder would lose data there."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "veyra-scratch-" + spark.sparkContext.applicationId)
     if not os.path.isdir(own):
         os.makedirs(own)
@@ -41,11 +44,17 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     Parquet scan with exact sizes, and a plan that uses it twice computes it once.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/veyra/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/veyra/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that cut() wrote in this application. Results that rest on them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/veyra/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where costly Python follows and the table is too small to come in that many splits.
 

@@ -8,6 +8,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veyra.functions import ident
 from veyra.functions.text import fold_latin
 
 # Labels of the profile sheet.
@@ -51,6 +52,50 @@ def brokers(spark: SparkSession, data: dict) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, domain string, name string, opt_out_url string, country string")
 
 
+# Endings and keywords of site categories, in the order in which they are tried.
+ENDINGS = [("Government / court record", [".gov", ".gov.tr", ".gov.uk", ".mil", ".jus.br", ".adalet.gov.tr", ".bel.tr", ".edu.tr.gov"])]
+KEYWORDS = [
+    ("News / media", ["haber", "news", "gazete", "newspaper", "magazin", "dergi"]),
+    ("Forum / community", ["forum", "sozluk", "community", "topluluk", "/thread", "/konu/", "/topic/"]),
+    ("Blog", ["blog", "/post/", "/yazi/"]),
+    ("Business directory", ["rehber", "directory", "firma", "company-profile", "sirket", "/companies/"]),
+    ("Review site", ["review", "sikayet", "yorum", "degerlendirme"]),
+    ("Government / court record", ["mahkeme", "court", "karar", "resmi-gazete"]),
+]
+
+
+def category_domains(spark: SparkSession, data: dict) -> DataFrame:
+    """domain, ord, value: the domain lists of categories, ord in the order of the file."""
+    rows = [(str(d).lower(), i, category) for i, (category, ds) in enumerate((data.get("categories") or {}).items()) for d in ds or [] if d]
+    return spark.createDataFrame(rows, "domain string, ord int, value string")
+
+
+def category_rules(data: dict, section: str) -> list[tuple[str, list[str]]]:
+    """(category, entries) of `suffix_rules` or `keyword_rules`, in the order of the file."""
+    return [(category, [str(x).lower() for x in entries or []]) for category, entries in (data.get(section) or {}).items()]
+
+
+def site_domains(spark: SparkSession, data: dict, brokers_: DataFrame) -> DataFrame:
+    """kind, ord, domain: what site: queries are made of - brokers, social and professional networks."""
+    rows = [(f"site_{kind}", i, str(d)) for kind, ds in (data.get("site_queries") or {}).items() for i, d in enumerate(ds or [])]
+    return brokers_.select(F.lit("site_broker").alias("kind"), "ord", "domain").unionByName(spark.createDataFrame(rows, "kind string, ord int, domain string"))
+
+
+LIST_FIELDS = ("name_variants", "cities", "addresses", "phones", "emails", "usernames", "employers", "schools", "relatives", "keep_accounts")
+
+
+def validated(subjects: DataFrame) -> DataFrame:
+    """subjects with placeholders and invalid values taken out of their lists, `dropped` (how many were), and `rejected`: why a
+    subject cannot be used, null if it can. Nothing else is changed; null lists stay null."""
+    name = ident.is_placeholder(F.coalesce(F.trim("full_name"), F.lit("")))
+    why = F.when(F.coalesce(F.trim("case_id"), F.lit("")) == "", "case id is missing").when((F.coalesce(F.trim("full_name"), F.lit("")) == "") | name, "full name is missing")
+    lists = [c for c in LIST_FIELDS if c in subjects.columns]
+    keep = lambda c: F.filter(c, lambda v: F.coalesce(ident.valid_value(c, v), F.lit(False)))
+    kept = {c: keep(c) for c in lists}
+    dropped = sum((F.coalesce(F.size(F.filter(c, lambda v: v.isNotNull())), F.lit(0)) - F.coalesce(F.size(kept[c]), F.lit(0)) for c in lists), F.lit(0))
+    return subjects.withColumns({"dropped": dropped.cast("int"), "rejected": why, **kept})
+
+
 def profile_fields(sheet: DataFrame) -> DataFrame:
     """case_id, field, value of a key/value sheet (case_id, row, label, value): labels match folded and by prefix; the first wins."""
     label = F.trim(fold_latin(F.col("label")))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veyra.functions.text import fold_latin
@@ -83,3 +83,9 @@ def archived(body: Column, asked: Column) -> Column:
     """Yes, No, or Unknown where nobody asked or no answer came."""
     got = F.get_json_object(body, "$.archived_snapshots")
     return F.when(~asked | body.isNull() | got.isNull(), "Unknown").when(F.get_json_object(body, "$.archived_snapshots.closest.available") == "true", "Yes").otherwise("No")
+
+
+def with_facts(rows: DataFrame, domains: DataFrame, archive: DataFrame, domain: str = "domain", url: str = "url") -> DataFrame:
+    """rows plus what is known of their registered domain and of the archived copies of their address, both left outer: rows
+    without either stay. domains: one row per domain; archive: one row per url; further columns are taken over."""
+    return rows.join(domains, domain, "left").join(archive, url, "left")
