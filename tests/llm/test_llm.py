@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veyra.llm import addresses, encoding, mainbody, merkle, mixture, notices, personal, quality, tokens
+from veyra.operators.pageblocks import blocks
 
 md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
 HAS_RANKS = os.path.exists(tokens.vocabulary_path())
@@ -30,6 +31,12 @@ def test_url_pages(spark):
     assert merkle.url_pages(spark.createDataFrame([], "id long, url string"), "url", "id").count() == 0
 
 
+def test_one_digest_of_two_structures_is_split(spark):
+    rows = [(5, "r", "a"), (3, "r", "a"), (4, "r", "b"), (9, "q", "c")]
+    got = merkle.groups(spark.createDataFrame(rows, "id long, root string, structure string")).collect()
+    assert {(r["keep_id"], r["copies"]) for r in got} == {(3, 2), (4, 1), (9, 1)}
+
+
 def test_digest_order(spark):
     df = spark.createDataFrame([(["b", "a"],)], "x array<string>")
     a, b = df.select(merkle.unordered("t", F.col("x")), merkle.unordered("t", F.reverse("x"))).first()
@@ -77,21 +84,60 @@ def test_notices_empty(spark):
     assert notices.notices(spark.createDataFrame([], FETCH)).count() == 0
 
 
+def weak(main, status=200):
+    html = page(1, main)
+    return notices.features("Sayfa", [notices.Piece(b.text, b.score, b.tag, b.code) for b in mainbody.score_blocks(blocks(html))], status).weak
+
+
 def test_code_samples_are_no_residue():
-    assert notices.features(page(1, story(1) + "<p>Şablonda <code>{{ad}}</code> alanı</p>"), 200).weak == 0
-    assert notices.features(page(1, story(1) + "<p>Merhaba {{ad}} alanı</p>"), 200).weak == 1
+    assert weak(story(1) + "<p>Şablonda <code>{{ad}}</code> alanı</p>") == 0
+    assert weak(story(1) + "<p>Merhaba {{ad}} alanı</p>") == 1
 
 
-def test_main_body(spark, fetches):
-    gone = spark.createDataFrame([(100,)], "fetch_id long")
+def test_notices_without_a_label_are_found(spark, fetches):
+    """Notices in words that no weak label knows, with status 200, are still found: the classifier carries over from their likes."""
+    more = [(400 + i, f"https://h{i % 4}.example/u{i}", None, 410 if i < 8 else 200, page(i, "<h1>Kayıt sahibi sayfayı kapattı</h1><p>Başka bir kayıt seçin.</p>", "Kapalı"), "C") for i in range(12)]
+    got = {r["fetch_id"]: r for r in notices.notices(fetches.unionByName(spark.createDataFrame(more, FETCH))).collect()}
+    assert all(got[i]["weak"] == -1 and got[i]["p"] >= 0.5 for i in range(408, 412))
+
+
+def bodies(pages, gone, **settings):
     got = {}
-    for r in mainbody.main_blocks(fetches, gone).collect():
+    for r in mainbody.main_blocks(pages, gone, **settings).collect():
         got.setdefault(r["fetch_id"], set()).add(r["block_md5"])
+    return got
+
+
+def test_main_body(spark, fetches):
+    gone = spark.createDataFrame([(100,)], "fetch_id long")
+    got = bodies(mainbody.walked(fetches), gone)
     for i in range(60):
         want = {f"Konu {i}", f"Bu yazı {i} numaralı konuyu uzun uzun anlatıyor ve hiçbir şeyi atlamıyor. İkinci cümle de burada duruyor.", "Şehir", f"Yer {i}", f"Son söz {i} idi."}
         assert got[i] == {md5(x) for x in want}
     assert 100 not in got and 300 not in got and 301 not in got
-    assert mainbody.main_blocks(fetches.limit(0), gone).count() == 0
+    assert mainbody.main_blocks(mainbody.walked(fetches.limit(0)), gone).count() == 0
+
+
+def test_paths_of_the_host_decide(spark):
+    """A note that reads like main text stands on one path of the host; where it is short its own score gives it away, and the votes
+    of those pages carry the others. A main paragraph without a sentence is carried likewise."""
+    note = lambda i: "<div class=kq1>" + ("Yazdır | Gönder | Kaydet" if i else "Yazdır | Gönder | Kaydet ya da bu sayfanın tamamını başka bir yere taşıyabileceğiniz uzun bir satır halinde okuyabilirsiniz; bu satır asıl metin gibi görünür ama değildir, okuyana hiçbir şey anlatmaz, yalnızca yer kaplar ve sayfanın altında durur.") + "</div>"
+    text = lambda i: f"<h1>Konu {i}</h1><div class=t2><p>Bu yazı {i} numaralı konuyu anlatıyor ve hiçbir şeyi atlamıyor. İkinci cümle burada.</p></div>"
+    rows = [(i, "https://a.example/x", None, 200, f"<body>{text(i)}{note(i)}</body>", "C") for i in range(20)]
+    pages, gone = mainbody.walked(spark.createDataFrame(rows, FETCH)), spark.createDataFrame([], "fetch_id long")
+    by_path = {r["text"]: r["vote"] for r in mainbody.voted(pages).where("fetch_id = 1").collect()}
+    assert by_path["Yazdır | Gönder | Kaydet"] < 0 < by_path["Konu 1"]
+    with_votes, without = bodies(pages, gone), bodies(pages, gone, vote_weight=0.0)
+    assert with_votes[1] == {md5("Konu 1"), md5("Bu yazı 1 numaralı konuyu anlatıyor ve hiçbir şeyi atlamıyor. İkinci cümle burada.")}
+    assert set(without) == set(with_votes)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/fetches.parquet"), reason="no test tables here")
+def test_votes_change_the_main_bodies(spark):
+    pages = mainbody.walked(spark.read.parquet("/root/testdata/sf0.01/fetches.parquet"))
+    gone = spark.createDataFrame([], "fetch_id long")
+    a, b = ({tuple(r) for r in mainbody.main_blocks(pages, gone, vote_weight=w).collect()} for w in (1.0, 0.0))
+    assert len(a ^ b) > 0.002 * len(a)
 
 
 # ---- 3 -----------------------------------------------------------------------------------------------------------------
@@ -99,8 +145,14 @@ def test_main_body(spark, fetches):
 GAZ = personal.Gazetteer(frozenset({"isil", "ada", "melis"}), frozenset({"gokpinarci"}), frozenset({"tasbuk", "port", "selwick"}))
 
 
-def found(text):
-    return {(personal.TYPES[c.type], c.value) for c in personal.candidates_in(text, GAZ)}
+def found(text, gaz=GAZ):
+    """What the labelers' beliefs alone accept, before anything is learned."""
+    cands = []
+    for c in personal.candidates_in(text, gaz):
+        p = personal.reliabilities({c.votes: 1}, list(personal.LABELERS[c.type].values()), steps=0)[1][c.votes]
+        if p >= 0.5:
+            cands.append((c.type, c.start, c.end, c.value, p))
+    return {(personal.TYPES[c[0]], c[3]) for c in personal.keep(cands)}
 
 
 @pytest.mark.parametrize(
@@ -118,6 +170,33 @@ def test_candidates(text, want):
     assert found(text) == want
 
 
+def test_candidates_are_wide():
+    types = Counter(c.type for c in personal.candidates_in("Deniz Lojistik A.Ş. ve Uzun Sokak 14.02.2019 tarihinde Kuzey Feneri ile 12345678 sayılı", GAZ))
+    assert types[5] >= 3 and types[1] >= 1  # firms, streets and dates are candidates too: the votes decide
+
+
+@pytest.mark.parametrize("tail", ["", " " + "Nobody could say why it had to be so. " * 40])
+def test_addresses_in_blocks_of_any_length(tail):
+    assert found("The firm moved to 16 Copper Bell Avenue, Ashcombe last year and nobody noticed it." + tail) == {("ADDRESS", "16 Copper Bell Avenue, Ashcombe")}
+
+
+def test_half_of_the_cues_will_do(monkeypatch):
+    import re
+
+    cut = {k: re.compile(r"(?:^|\W)(?:" + "|".join(personal.CUES[k].split("|")[::2]) + ")") for k in ("phone", "tckn", "email", "iban", "before")}
+    monkeypatch.setattr(personal, "_cues", personal._cues | cut)
+    assert found("Toplantıya Işıl Gökpınarcı başkanlık etti, 0598 338 87 76, Kimlik No: 100 000 001 46") == {("NAME", "Işıl Gökpınarcı"), ("PHONE", "05983388776"), ("TCKN", "10000000146")}
+
+
+def test_reliabilities_are_learned():
+    beliefs = [(0.6, 0.2, 0.2, 0.6)] * 3
+    good, bad = 0b010101, 0b101010  # all for, all against
+    liar = 0b100101  # the third labeler goes against what the others say
+    r, p = personal.reliabilities({good: 100, bad: 100, liar: 90, 0b011010: 90}, beliefs)
+    assert p[good] > 0.9 and p[bad] < 0.1 and p[liar] > 0.8
+    assert r.accuracy()[2] < r.accuracy()[0] and personal.reliabilities({}, beliefs)[1] == {}
+
+
 def test_garbled_names_keep_their_spelling():
     garbled = "ToplantÄ±ya IÅŸÄ±l GÃ¶kpÄ±narcÄ± baÅŸkanlÄ±k etti."
     assert ("NAME", "IÅŸÄ±l GÃ¶kpÄ±narcÄ±") in found(garbled)
@@ -132,7 +211,10 @@ def test_personal_information(spark):
     assert got == {("fetches", 1, "NAME", "Işıl Gökpınarcı"), ("fetches", 1, "PHONE", "05983388776"), ("fetches", 1, "EMAIL", "isil@e.test"), ("analyses", 7, "PHONE", "05973590226"), ("analyses", 7, "EMAIL", "a@b.test")}
     text = {(r["src"], r["rec_id"]): r["text"] for r in personal.redacted(spans).collect()}
     assert text["fetches", 1] == "Sorumlu kişi: [NAME].\nTel [PHONE], [EMAIL]\n© Deniz Lojistik A.Ş." and text["analyses", 7] == "Phone ([PHONE])\nmail [EMAIL] until"
-    assert all(0.6 <= a <= 0.99 for _, acc in report.values() for a in acc)
+    assert all(0 <= a <= 1 for r in report.values() for a in r.accuracy())
+    joined = personal.values(personal.personal_information(pages, an, subjects, broadcast_words=0)[0])
+    assert {tuple(r) for r in joined.collect()} == got
+    assert personal.values(personal.personal_information(pages, an, subjects, least=-1)[0]).count() >= len(got)
 
 
 def test_personal_empty(spark):
@@ -187,6 +269,18 @@ def test_encoding_learned_substitutions(spark, codec):
     assert got == {0: clean[0], 1: clean[1]}
 
 
+def test_decoder_without_a_name_is_learned(spark):
+    codec = "cp866"
+    assert codec not in encoding.WRONG
+    clean = [f"{w} {i}" for i in range(3) for w in ("çağrı şubesi", "gölge şoför", "dağ üzüm kayıt " + "ğışçöü" * 9)]
+    garble = lambda t: "".join(encoding._bytes_as(codec)[b] for b in t.encode())
+    texts = spark.createDataFrame([(t,) for t in clean * 2 + [garble(t) for t in clean]], "text string")
+    votes = encoding.learn(texts)
+    df = spark.createDataFrame([(0, garble("üçüncü kaşığı")), (1, "üçüncü kaşığı")], "id long, title string")
+    got = {r["id"]: r["fixed"] for r in encoding.restore(df, ["id"], "title", votes, encoding.clean_words(texts)).collect()}
+    assert got == {0: "üçüncü kaşığı"}
+
+
 def test_encoding_damage_after_many_runs():
     late = "şu “söz” ğ ş € “ş”"
     text = "ı " * 500 + "".join(encoding._bytes_as("cp1252")[b] for b in late.encode())
@@ -219,6 +313,15 @@ def test_same_building(spark):
     assert addresses.same_building(df.limit(0)).count() == 0
 
 
+def test_weights_decide(spark):
+    """Pairs that only the weights turn down: with every probability taken for enough they are links."""
+    rows = [(i, "ihlamur", t, str(n), "", "", "merkez", "") for i, (t, n) in enumerate([("cadde", n) for n in range(30) for _ in (0,)] + [("sokak", n) for n in range(6)])]
+    rows += [(100 + n, "ihlamur", "cadde", str(n), "moda", "", "merkez", "") for n in range(30)]
+    t = spark.createDataFrame(rows, "tid long, street string, stype string, number string, hood string, postcode string, district string, province string")
+    links, met = ({tuple(r) for r in addresses.linked(t, p).collect()} for p in (addresses.MATCH, 0.0))
+    assert links == {(n, 100 + n) for n in range(30)} and len(met) > len(links)
+
+
 def test_many_copies_are_salted(spark):
     df = spark.range(2100).select(F.col("id").alias("addr_id"), F.lit("Gül Sokak No: 4 Taşbük").alias("address_text"))
     assert addresses.same_building(df).count() == 2100 * 2099 // 2
@@ -268,11 +371,22 @@ def test_mix(spark):
     assert mixture.mix(docs.limit(0), targets).count() == 0
 
 
-def test_plan_is_bounded():
-    q = mixture.quotas({"a": 10**9, "b": 10**8}, [("a", 0.5, 1), ("b", 0.5, 4)])
-    counts = mixture.shard_counts(q)
-    assert len({s for s, *_ in counts}) <= mixture.MAX_SHARDS + 1
-    assert {s: sum(c for _, x, _, c in counts if x == s) for s in q} == q
+def test_shares_at_any_total():
+    for n in (10**5, 10**10):
+        q = mixture.quotas({"a": n, "b": n // 10}, [("a", 0.5, 1), ("b", 0.5, 4)])
+        counts = mixture.shard_counts(q, shard_blocks=n // 50)
+        assert {s: sum(c for _, x, _, c in counts if x == s) for s in q} == q
+
+
+def test_shards_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "MAX_GROUPS", 3)
+    docs = spark.createDataFrame([(i, "a", [i] * 8) for i in range(400)] + [(1000 + i, "b", [i] * 8) for i in range(100)], "doc_id long, source string, ids array<int>")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    mixed = mixture.mix(docs, targets, block=8, shard_blocks=16).cache()
+    sizes = Counter(r["shard"] for r in mixed.select("shard").collect())
+    assert sum(sizes.values()) == 800 and sorted(sizes.values())[1] == 16 and max(sizes.values()) == 16 and len(sizes) == 50
+    uses = {(r["doc_id"], r["source"]): r for r in mixture.document_uses(mixed).collect()}
+    assert len(uses) == 500 and all(r["used_tokens"] == 8 * r["most_uses"] and r["most_uses"] == (1 if s == "a" else 4) for (_, s), r in uses.items())
 
 
 # ---- 10 ----------------------------------------------------------------------------------------------------------------
@@ -303,6 +417,14 @@ def test_statistics(spark):
     assert quality.common_words(df, top=2) == ["ab", "cd"]
 
 
-def test_accuracies_stay_sane():
-    acc = quality.fit({0b11: 50, 0b1: 10, 1 << 13: 5})
-    assert ((acc >= quality.FLOOR) & (acc <= 0.995)).all() and (quality.fit({}) == quality.START).all()
+def test_rates_stay_sane():
+    rates = quality.fit({0b11: 50, 0b1: 10, 1 << 13: 5})
+    assert ((rates >= 0.002) & (rates <= 0.998)).all() and (quality.fit({}) == quality.start()).all()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no test tables here")
+def test_learning_moves_types(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    common = quality.common_words(docs)
+    a, b = ({(r["doc_id"], r["kind"]) for r in quality.text_types(docs, common, learned=x).collect()} for x in (True, False))
+    assert len(a - b) > 0.02 * len(a)

@@ -174,25 +174,30 @@ def placed(rows: DataFrame) -> DataFrame:
 COMPARED = ("district", "stype", "hood", "postcode", "province", "street")
 
 
+# How often a component is believed to differ in matches and in other pairs, where both have it, before anything is learned. A
+# missing value is believed to say nothing; of streets, 0.15 of either are near.
+DIFFERS = {"district": 0.005, "stype": 0.005, "street": 0.005}
+USUAL, OTHERS, NEAR_SHARE = 0.06, 0.75, 0.15
+PULL = 0.4  # weight of that beside what is learned, as a share of all pairs
+
+
 def estimate(patterns: dict[tuple[int, ...], int], steps: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
     """EM for the two-class model with three levels (0 differs, 1 agrees, 2 missing; of streets 2 is near) per component: share of
-    matches, m, u."""
+    matches, m, u. A pair that met in a block is at most as likely as not to match before its components are compared."""
     k = len(COMPARED)
     keys = sorted(patterns)
     x, w = np.array(keys, dtype=int).reshape(len(keys), k), np.array([patterns[p] for p in keys], dtype=float)
-    m, u, share = np.tile([0.05, 0.75, 0.2], (k, 1)), np.tile([0.6, 0.2, 0.2], (k, 1)), 0.3
+    cast, share = np.stack([x == level for level in range(3)], axis=2).astype(float), 0.3
+    third = np.clip((cast[:, :, 2] * w[:, None]).sum(0) / max(w.sum(), 1.0), 0.01, 0.98)
+    third[COMPARED.index("street")] = NEAR_SHARE
+    believed = lambda differs: np.stack([(1 - third) * differs, (1 - third) * (1 - differs), third], axis=1)
+    m, u = believed(np.array([DIFFERS.get(c, USUAL) for c in COMPARED])), believed(np.full(k, OTHERS))
+    start, pull = (m, u), PULL * w.sum()
     for _ in range(steps if len(keys) else 0):
         q = match_probability(x, share, m, u)
-        share = float(np.clip((q * w).sum() / w.sum(), 0.01, 0.99))
-        for j in range(k):
-            for level in range(3):
-                at = x[:, j] == level
-                m[j, level] = (q * w)[at].sum() + 0.5
-                u[j, level] = ((1 - q) * w)[at].sum() + 0.5
-            m[j] /= m[j].sum()
-            u[j] /= u[j].sum()
-            if m[j, 1] / max(m[j, 0], 1e-9) < u[j, 1] / max(u[j, 0], 1e-9):  # agreement never counts against a match
-                m[j, :2] = u[j, :2] = (m[j, :2] + u[j, :2]) / 2
+        share = float(np.clip((q * w).sum() / w.sum(), 0.01, 0.5))
+        m, u = ((cast * (r * w)[:, None, None]).sum(0) + pull * s for r, s in ((q, start[0]), (1 - q, start[1])))
+        m, u = (np.clip(t / t.sum(1, keepdims=True), 1e-4, 1.0) for t in (m, u))
     return share, m, u
 
 

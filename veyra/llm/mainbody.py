@@ -62,12 +62,12 @@ def _tag(label: str) -> str:
     return re.split(r"[.#]", label, maxsplit=1)[0]
 
 
-def _shape(b: Block, tags: list[str], words: int, sentences: int) -> str:
+def _shape(b: Block, tags: list[str], words: int, sentences: int, cell: bool) -> str:
     if b.link > 0.8 * len(b.text):
         return "L"
     if tags[-1:] and tags[-1] in _HEADINGS:
         return "h"
-    if _is_fact(b, tags, words):
+    if cell or _is_fact(b, tags, words):
         return "f"
     if words <= 30 and _separated.search(b.text):
         return "b"
@@ -105,6 +105,8 @@ def score_blocks(bs: list[Block]) -> list[Scored]:
     words = [len(b.text.split()) for b in bs]
     sentences = [len(_sentence.findall(b.text)) for b in bs]
     lower = [plain_repair(b.text).translate(_TURKISH).lower().replace("i̇", "i") for b in bs]
+    # A cell is data, not layout, if the headline is not in its table.
+    cells = [t[-1:] == ["td"] and "table" in t and b.ids[len(t) - 1 - t[::-1].index("table")] not in around for b, t in zip(bs, tags)]
     owner: list[int] = []
     groups: dict[int, list[int]] = {}
     for i, b in enumerate(bs):
@@ -144,7 +146,7 @@ def score_blocks(bs: list[Block]) -> list[Scored]:
         s = -0.8 + 1.2 * min(sum(sentences[i] for i in own) / n, 2.0)
         s -= 2.0 * (sum(bs[i].link for i in own) > 0.6 * chars)
         s += 1.6 if own[-1] >= head else -1.6
-        facts = sum(_is_fact(bs[i], tags[i], words[i]) and not _cue.search(lower[i]) for i in own)
+        facts = sum((cells[i] or _is_fact(bs[i], tags[i], words[i])) and not _cue.search(lower[i]) for i in own)
         s += 2.0 * facts / n
         s += 1.0 * ("ol" in outer) - 4.0 * any(x in ("nav", "footer", "aside") for x in outer)
         said = " ".join(names)
@@ -158,7 +160,7 @@ def score_blocks(bs: list[Block]) -> list[Scored]:
     out = []
     for i, b in enumerate(bs):
         t = tags[i][-1] if tags[i] else ""
-        shape = "h" if i == head else _shape(b, tags[i], words[i], sentences[i])
+        shape = "h" if i == head else _shape(b, tags[i], words[i], sentences[i], cells[i])
         s = container[owner[i]] - under[i] + 0.4 * min(sentences[i], 4) + 0.03 * min(words[i], 40)
         s += 2.5 * (t in ("h1", "h2") or i == head) + 1.0 * (t == "blockquote")
         s -= 3.5 * (i < head and owner[i] in around)

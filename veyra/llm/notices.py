@@ -29,6 +29,7 @@ MARK_VALUE = 0.35
 SAMPLE = 20_000
 L2 = 1e-4
 CUT = 0.5
+OUT = -2.0  # blocks of a lower score are furniture; placeholders count in all others
 
 # The few phrases that weak labels use.
 PHRASES = r"\b404\b|not found|access denied|loading|javascript|bulunamad|erişim|yükleniyor|nicht gefunden|introuvable"
@@ -73,7 +74,9 @@ def features(name: str, bs: list[Piece], status: int | None) -> Page:
     top = _norm(core[0].text) if core else ""
     holes = code = letters = 0
     body = []
-    for b in core:
+    for b in bs:
+        if b.score <= OUT:
+            continue
         t = plain_repair(b.text)
         found = _placeholder.findall(t)
         if found:
@@ -81,6 +84,8 @@ def features(name: str, bs: list[Piece], status: int | None) -> Page:
             holes += 0 if coded else len(found)
             code += len(found) if coded else 0
             t = _placeholder.sub(" ", t)
+        if b not in core:
+            continue
         letters += len(t)
         body.append(t.translate(_turkish).lower().replace("i̇", "i"))
     text = "\n".join(body)
@@ -113,7 +118,7 @@ def features(name: str, bs: list[Piece], status: int | None) -> Page:
         weak = 1
     elif short and facts < 2 and (bad or phrase):
         weak = 1
-    elif not bad and not phrase and (letters >= 200 and prose >= 2 or facts >= 3):
+    elif not phrase and (not bad and (letters >= 120 and prose >= 2 or facts >= 3) or letters >= 400 and prose >= 4):
         weak = 0
     by_status = 1 if bad and short else 0 if status == 200 and not short else -1
     return Page(sorted({_h(m, 0, MARKS) for m in marks} | {_h(g) for g in grams}), weak, letters, by_status)

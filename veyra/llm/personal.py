@@ -162,10 +162,10 @@ LABELERS: dict[int, dict[str, tuple[float, float, float, float]]] = {
         "places": (0.9, 0.05, 0.3, 0.6),
         "context": (0.4, 0.01, 0.1, 0.01),
         "known_place": (0.6, 0.01, 0.2, 0.01),
-        "alone": (0.7, 0.01, 0.3, 0.01),
+        "alone": (0.5, 0.01, 0.3, 0.01),
         "prose": (0.85, 0.1, 0.4, 0.5),
         "long": (0.01, 0.03, 0.01, 0.3),
-        "span": (0.3, 0.01, 0.5, 0.01),
+        "span": (0.5, 0.01, 0.4, 0.01),
     },
     5: {
         "given": (0.75, 0.1, 0.1, 0.7),

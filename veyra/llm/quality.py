@@ -117,7 +117,7 @@ NAMES = (
     "prose_ended", "prose_common", "prose_lower", "prose_long", "prose_varied",
     "list_short", "list_neighbours", "list_bullet", "list_items", "list_url", "list_unknown", "list_even", "list_parts",
     "table_cells", "table_many", "table_key", "table_keys", "table_values",
-    "junk_symbols", "junk_token", "junk_repeats", "junk_letters", "junk_code", "junk_log", "junk_same", "junk_unended", "junk_few", "junk_wide",
+    "junk_symbols", "junk_token", "junk_repeats", "junk_letters", "junk_code", "junk_log", "junk_same", "junk_unended", "junk_few", "junk_wide", "junk_coded",
 )
 _OF = [KINDS.index(n.split("_")[0]) for n in NAMES]
 
@@ -150,22 +150,22 @@ def votes(text: str, common: frozenset[str]) -> list[tuple[int, int]]:
         fire = {
             "prose_ended": ended[i] and m >= 5,
             "prose_common": known >= 0.15 * m and known >= 2,
-            "prose_lower": lower >= 0.5 * m and m >= 4,
-            "prose_long": m >= 12 and item_words >= 5,
-            "prose_varied": m >= 8 and variety > 0.7,
+            "prose_lower": lower >= 0.5 * m and m >= 4 and item_words >= 3 and letters >= 0.6 * chars,
+            "prose_long": m >= 12 and item_words >= 5 and letters >= 0.6 * chars and variety > 0.6,
+            "prose_varied": m >= 8 and variety > 0.7 and item_words >= 3 and letters >= 0.6 * chars,
             "list_short": short[i],
             "list_neighbours": sum(short[j] for j in near) >= 2,
             "list_bullet": bool(_bullet.match(u)),
             "list_items": len(items) >= 5 and item_words <= 4.5,
             "list_url": bool(_url.match(u)),
-            "list_unknown": known == 0 and letters > 0 and m <= 7 and not keyed[i],
+            "list_unknown": known == 0 and letters > 0 and m <= 7 and not keyed[i] and symbols <= 0.25 * chars,
             "list_even": len(items) >= 4 and item_words <= 4.5 and d in ("", ",", ";"),
             "list_parts": len(items) >= 8 and item_words <= 3.5,
             "table_cells": len(c) >= 3 and same,
             "table_many": len(c) >= 4 and same,
             "table_key": keyed[i],
             "table_keys": keyed[i] and any(keyed[j] for j in near),
-            "table_values": len(c) >= 3 and sum(1 for x in c if _value.match(x.strip())) >= 0.3 * len(c),
+            "table_values": len(c) >= 3 and same and sum(1 for x in c if _value.match(x.strip())) >= 0.3 * len(c),
             "junk_symbols": symbols > 0.3 * chars,
             "junk_token": longest > 40 and "://" not in s,
             "junk_repeats": m >= 8 and variety < 0.5 or len(s) >= 12 and kinds <= 4,
@@ -175,6 +175,7 @@ def votes(text: str, common: frozenset[str]) -> list[tuple[int, int]]:
             "junk_same": m >= 6 and variety < 0.65 and item_words > 3,
             "junk_unended": m >= 12 and not ended[i] and item_words > 8,
             "junk_few": len(s) >= 12 and kinds <= 4,
+            "junk_coded": len(_code.findall(s)) >= 4,
             "junk_wide": letters >= 10 and letters / m > 13 and "." not in s,
         }
         out.append((sum(1 << k for k, name in enumerate(NAMES) if fire[name]), len(s)))
