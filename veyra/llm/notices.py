@@ -112,7 +112,7 @@ def features(name: str, bs: list[Piece], status: int | None) -> Page:
     grams += [f"{where}:{w}" for w in plain] + [f"{where}:{a} {b}" for a, b in zip(plain, plain[1:])]
 
     bad = status is not None and status >= 400
-    phrase = bool(_phrase.search(text) or _phrase.search(head))
+    phrase = bool(_phrase.search(text if short else top) or _phrase.search(head))
     weak = -1
     if holes or _filler.search(text) or repeated >= 0.5:
         weak = 1
