@@ -125,8 +125,8 @@ def test_paths_of_the_host_decide(spark):
     text = lambda i: f"<h1>Konu {i}</h1><div class=t2><p>Bu yazı {i} numaralı konuyu anlatıyor ve hiçbir şeyi atlamıyor. İkinci cümle burada.</p></div>"
     rows = [(i, "https://a.example/x", None, 200, f"<body>{text(i)}{note(i)}</body>", "C") for i in range(20)]
     pages, gone = mainbody.walked(spark.createDataFrame(rows, FETCH)), spark.createDataFrame([], "fetch_id long")
-    by_path = {r["text"]: r["vote"] for r in mainbody.voted(pages).where("fetch_id = 1").collect()}
-    assert by_path["Yazdır | Gönder | Kaydet"] < 0 < by_path["Konu 1"]
+    by_path = {r["digest"].hex(): r["vote"] for r in mainbody.voted(pages).where("fetch_id = 1").collect()}
+    assert by_path[md5("Yazdır | Gönder | Kaydet")] < 0 < by_path[md5("Konu 1")]
     with_votes, without = bodies(pages, gone), bodies(pages, gone, vote_weight=0.0)
     assert with_votes[1] == {md5("Konu 1"), md5("Bu yazı 1 numaralı konuyu anlatıyor ve hiçbir şeyi atlamıyor. İkinci cümle burada.")}
     assert set(without) == set(with_votes)

@@ -209,8 +209,9 @@ OWN = 0.25  # weight of a block's own score beside its path's vote
 
 
 def voted(pages: DataFrame) -> DataFrame:
-    """(fetch_id, host, text, score, vote): all blocks of `pages` (see walked) with the vote of their host's path."""
-    b = pages.select("fetch_id", "host", F.inline("blocks")).withColumn("t", F.xxhash64("text"))
+    """(fetch_id, host, digest, score, vote): all blocks of `pages` (see walked) with the vote of their host's path. digest is the md5
+    of the text as 16 bytes: the text itself goes through no shuffle."""
+    b = pages.select("fetch_id", "host", F.inline("blocks")).withColumns({"t": F.xxhash64("text"), "digest": F.unhex(F.md5("text"))}).drop("text")
     hosts = pages.agg(F.countDistinct("host")).first()[0]
     # At most (texts of a host on average) / HOST_SHARE texts can be repeated.
     spread_texts = b.groupBy("t", "host").agg(F.count("*").alias("n")).groupBy("t").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= max(HOSTS, HOST_SHARE * hosts))
@@ -219,13 +220,13 @@ def voted(pages: DataFrame) -> DataFrame:
     for shape, x in REPEATED.items():
         cost = F.when(F.col("shape") == shape, x).otherwise(cost)
     score = F.col("score") - F.when(F.col("repeated"), cost).otherwise(0.0)
-    b = b.select("fetch_id", "host", "text", F.xxhash64("key", "repeated").alias("path"), F.xxhash64("bare", "repeated").alias("bare"), score.alias("score"))
+    b = b.select("fetch_id", "host", "digest", F.xxhash64("key", "repeated").alias("path"), F.xxhash64("bare", "repeated").alias("bare"), score.alias("score"))
     own = b.groupBy("host", "path", "bare").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
     path = own.groupBy("path", "bare").agg(F.sum("s").alias("ps"), F.sum("n").alias("pn"))
     bare = path.groupBy("bare").agg((F.sum("ps") / F.sum("pn")).alias("mean"))
     prior = path.join(bare, "bare").select("path", ((F.col("ps") + BARE_PRIOR * F.col("mean")) / (F.col("pn") + BARE_PRIOR)).alias("prior"))
     votes = own.join(prior, "path").select("host", "path", ((F.col("s") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR)).alias("vote"))
-    return b.join(votes, ["host", "path"]).select("fetch_id", "host", "text", "score", "vote")
+    return b.join(votes, ["host", "path"]).select("fetch_id", "host", "digest", "score", "vote")
 
 
 def main_blocks(pages: DataFrame, excluded: DataFrame, vote_weight: float = 1.0) -> DataFrame:
@@ -236,4 +237,4 @@ def main_blocks(pages: DataFrame, excluded: DataFrame, vote_weight: float = 1.0)
     """
     b = voted(pages.join(excluded.select("fetch_id"), "fetch_id", "left_anti"))
     won = vote_weight * F.col("vote") + OWN * F.col("score") > 0
-    return b.where(won).select("fetch_id", F.md5("text").alias("block_md5")).distinct()
+    return b.where(won).select("fetch_id", "digest").distinct().select("fetch_id", F.lower(F.hex("digest")).alias("block_md5"))
