@@ -1,3 +1,4 @@
+import time
 import unicodedata
 
 import pytest
@@ -37,6 +38,24 @@ def test_fold_equals_unicodedata(spark, texts):
     assert got == want
 
 
+def test_fold_of_odd_characters_is_quick(spark):
+    def seconds(word):
+        df = spark.range(4000).coalesce(1).select(F.concat_ws(" ", F.col("id").cast("string"), F.lit(word * 50)).alias("s"))
+        began = time.time()
+        assert df.select(F.sum(F.length(text.fold(F.col("s"))))).first()[0] > 0
+        return time.time() - began
+
+    seconds("ab…½")  # compiles
+    assert seconds("ab…½") < 10 * seconds("abcd") + 10  # over a map of all characters: a thousand times
+
+
+def test_any_phrase_pattern(spark):
+    rows = [("ada  yilmaz", True), ("a.yilmaz", True), ("adayilmaz", False), ("ada yilmazer", False), ("x c++ y", True)]
+    df = spark.createDataFrame(rows, "s string, w boolean").withColumn("p", text.any_phrase_pattern(F.array(F.lit("Ada Yılmaz"), F.lit(" "), F.lit(None), F.lit("A. Yılmaz"), F.lit("C++"))))
+    assert [r["x"] for r in df.select(F.call_function("rlike", "s", F.col("p")).alias("x")).collect()] == [w for _, w in rows]
+    assert one(spark, text.any_phrase_pattern(F.array(F.col("s"))), "s string", " ") is None
+
+
 def test_translit_and_forms(spark):
     assert one(spark, text.ascii_translit(F.col("s")), "s string", "İstanbul Şişli Çağlayan Göğüş Ünlü") == "Istanbul Sisli Caglayan Gogus Unlu"
     assert one(spark, text.spelling_forms(F.col("s")), "s string", " Şule ") == ["Şule", "Sule"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Letters that differ between Turkish and ASCII spelling.
 TURKISH = "ıİşŞğĞüÜöÖçÇâÂîÎûÛ"
 ASCII = "iIsSgGuUoOcCaAiIuU"
+BUCKETS = 64
 
 
 def tr_lower(s: Column) -> Column:
@@ -60,32 +61,69 @@ def _several() -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _table() -> tuple[str, str]:
+    """Source and target of one translate call for all characters that fold to one character or to none (these come last, without
+    a target, which deletes them)."""
+    src, dst = _single()
+    one = {k: v for k, v in _several().items() if len(v) == 1}
+    return src + "".join(one) + "".join(k for k, v in _several().items() if v == ""), dst + "".join(one.values())
+
+
+@lru_cache(maxsize=1)
+def _longer() -> tuple[str, list[str]]:
+    """A character class of those that fold to several characters, and what they fold to: "key, value" lists by code point modulo BUCKETS."""
+    longer = {k: v for k, v in _several().items() if len(v) > 1}
+    runs: list[list[int]] = []
+    for i in sorted(map(ord, longer)):
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    lists: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for k, v in longer.items():
+        lists[ord(k) % BUCKETS].append(f"{k}\x02{v}")
+    return f"[{_BEYOND}&&[{''.join(rf'\x{{{a:x}}}-\x{{{b:x}}}' for a, b in runs)}]]", ["\x01".join(x) for x in lists]
+
+
 def _mapped(s: Column) -> Column:
-    """Every character by its entry in the map of _several(), given as one literal that is parsed once per plan."""
-    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _several().items())), F.lit("\x01"), F.lit("\x02"))
-    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    """Characters that fold to several by their entries in literal maps that are parsed once per plan; the runs between them stay whole."""
+    longer, lists = _longer()
+    maps = F.array(*[F.str_to_map(F.lit(x), F.lit("\x01"), F.lit("\x02")) for x in lists])
+    lookup = lambda c: F.when(F.length(c) == 1, F.try_element_at(F.get(maps, F.ascii(c) % BUCKETS), c))
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(rf"(?s){longer}|(?:(?!{longer}).)+"), F.lit(0)), lambda c: F.coalesce(lookup(c), c)), "")
 
 
 def strip_marks(s: Column) -> Column:
-    """Compatibility decomposition without combining marks (NFKD); Hangul syllables stay composed."""
-    src, dst = _single()
-    return F.translate(F.when(s.rlike(_BEYOND), _mapped(s)).otherwise(s), src, dst)
+    """Compatibility decomposition without combining marks (NFKD); Hangul syllables stay composed. Plain ASCII passes by the tables."""
+    src, dst = _table()
+    return F.when(F.octet_length(s) == F.length(s), s).otherwise(F.translate(F.when(s.rlike(_longer()[0]), _mapped(s)).otherwise(s), src, dst))
+
+
+def _dots(s: Column) -> Column:
+    """The ellipsis, which stands in every other snippet, as it folds: most texts are ASCII then."""
+    return F.replace(s, F.lit("…"), F.lit("..."))
+
+
+def _lower_ascii(s: Column) -> Column:
+    """tr_lower and the Turkish letters to ASCII, in one pass."""
+    return F.lower(F.translate(s, TURKISH, ASCII.lower()))
 
 
 def fold(s: Column) -> Column:
     """Turkish lower case, then plain ASCII letters: the form in which texts are matched. Null stays null."""
-    return strip_marks(F.translate(tr_lower(s), TURKISH, ASCII))
+    return strip_marks(_lower_ascii(_dots(s)))
 
 
 def fold_latin(s: Column) -> Column:
     """fold for text whose characters all fold to one character (names, keys): no Python at all."""
     src, dst = _single()
-    return F.translate(F.translate(tr_lower(s), TURKISH, ASCII), src, dst)
+    return F.translate(_lower_ascii(s), src, dst)
 
 
 def ascii_translit(s: Column) -> Column:
     """ASCII letters with the case kept."""
-    return strip_marks(F.translate(s, TURKISH, ASCII))
+    return strip_marks(F.translate(_dots(s), TURKISH, ASCII))
 
 
 def fold_case_kept(s: Column) -> Column:
@@ -108,13 +146,23 @@ def collapse_edges(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
-def phrase_pattern(phrase: Column) -> Column:
-    """Regular expression that finds a phrase in folded text: words apart by white space, hyphens or underscores (or nothing
-    after an initial), not inside other words. Null for a blank phrase."""
+def _phrase_body(phrase: Column) -> Column:
     words = F.filter(F.split(fold_latin(phrase), r"(?U)\s+"), lambda w: w != "")
     quoted = F.transform(words, lambda w: F.concat(F.regexp_replace(w, r"([\\\[\](){}.*+?^$|])", r"\\$1"), F.when(w.endswith("."), r"\s*").otherwise(r"[\s\-_]+")))
     body = F.regexp_replace(F.array_join(quoted, ""), r"(\\s\*|\[\\s\\-_\]\+)$", "")
-    return F.when(F.size(words) > 0, F.concat(F.lit(r"(?U)(?<!\w)"), body, F.lit(r"(?!\w)")))
+    return F.when(F.size(words) > 0, body)
+
+
+def phrase_pattern(phrase: Column) -> Column:
+    """Regular expression that finds a phrase in folded text: words apart by white space, hyphens or underscores (or nothing
+    after an initial), not inside other words. Null for a blank phrase."""
+    return F.concat(F.lit(r"(?U)(?<!\w)"), _phrase_body(phrase), F.lit(r"(?!\w)"))
+
+
+def any_phrase_pattern(phrases: Column) -> Column:
+    """Regular expression that matches where one of the phrases (an array) does. Null where all are blank or there is none."""
+    bodies = F.filter(F.transform(phrases, _phrase_body), lambda b: b.isNotNull())
+    return F.element_at(F.transform(F.array(bodies), lambda bs: F.when(F.size(bs) > 0, F.concat(F.lit(r"(?U)(?<!\w)(?:"), F.array_join(bs, "|"), F.lit(r")(?!\w)")))), 1)
 
 
 def contains_phrase(folded: Column, phrase: Column) -> Column:
@@ -152,8 +200,12 @@ def merge_spans(spans: Column) -> Column:
 
 def find_spans(folded: Column, phrases: Column) -> Column:
     """Merged spans of all phrases (an array of phrases) in folded text."""
-    each = F.transform(F.filter(phrases, lambda p: p.isNotNull() & (F.trim(p) != "")), lambda p: match_spans(folded, phrase_pattern(p)))
-    return merge_spans(F.flatten(each))
+    return pattern_spans(folded, F.transform(F.filter(phrases, lambda p: p.isNotNull() & (F.trim(p) != "")), phrase_pattern))
+
+
+def pattern_spans(folded: Column, patterns: Column) -> Column:
+    """Merged spans of all patterns (an array) in folded text."""
+    return merge_spans(F.flatten(F.transform(patterns, lambda p: match_spans(folded, p))))
 
 
 def contexts(folded: Column, spans: Column, n: int = 5, width: int = 80) -> Column:
